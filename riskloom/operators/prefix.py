@@ -48,15 +48,40 @@ def with_range(df: DataFrame, order: str, keep: Sequence[str] = ()) -> DataFrame
     return bounded.withColumn("_range", range_of(F.col(order), F.col("_cuts"))).drop("_cuts")
 
 
+def with_cut_range(df: DataFrame, order: str) -> DataFrame:
+    """Like ``with_range``, but a cut value is a range of its own (even numbers), so that a hot value
+    never shares its range with others."""
+    cuts = df.agg(
+        F.expr(f"percentile_approx(`{order}`, cast(split('{_FRACTIONS}', ',') AS array<double>), 10000)")
+    ).scalar()
+    bounded = df.withColumn("_cuts", cuts)
+    below = range_of(F.col(order), F.col("_cuts"))
+    on_cut = F.coalesce(F.get("_cuts", F.col("_range") - 1) == F.col(order), F.lit(False))
+    return (
+        bounded.withColumn("_range", below)
+        .withColumn("_range", 2 * F.col("_range") + F.when(on_cut, 0).otherwise(F.lit(1)))
+        .drop("_cuts")
+    )
+
+
 def running_sums(
-    table: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = ()
+    table: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (),
+    range_on: str | None = None,
 ) -> DataFrame:
     """Add ``{c}_before`` (sum over smaller ``order`` values) and ``{c}_total`` for each ``c`` in sums.
 
-    ``table`` has one row per (by, order value); ``by`` columns must not be null.
+    ``table`` has one row per (by, order value); ``by`` columns must not be null. When ``order`` is
+    not numeric, ``range_on`` names a number that never decreases as ``order`` grows.
     """
+    ranged = with_range(table, range_on or order, [*by, *sums])
+    return sums_over_ranges(ranged, order, sums, by).drop("_range")
+
+
+def sums_over_ranges(
+    ranged: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """``running_sums`` on a table that already carries its ``_range`` column."""
     by = list(by)
-    ranged = with_range(table, order, [*by, *sums])
     per_range = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(c) for c in sums])
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
@@ -77,17 +102,38 @@ def running_sums(
                 for c in sums
             }
         )
-        .drop("_range", *[f"_off_{c}" for c in sums])
+        .drop(*[f"_off_{c}" for c in sums])
     )
 
 
-def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """One row per (by, value): ``n``, ``n_before``, ``n_total`` and the mid-rank of the value."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+def value_ranks(
+    df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
+    """One row per (by, value): ``n``, ``n_before``, ``n_total`` and the mid-rank of the value.
+
+    ``weight`` counts how many original rows a row stands for.
+    """
+    n = F.sum(weight) if weight else F.count("*")
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("n"))
     ranked = running_sums(counts, value, ["n"], by)
     return ranked.withColumn("midrank", F.col("n_before") + (F.col("n") + 1) / 2.0)
 
 
+def text_prefix_number(text: Column) -> Column:
+    """First seven bytes as a number: grows with the byte order of the text."""
+    head = F.rpad(F.hex(F.substring(F.encode(text, "utf-8"), 1, 7)), 14, "0")
+    return F.conv(head, 16, 10).cast("bigint")
+
+
+def text_codes(values: DataFrame, text: str) -> DataFrame:
+    """Distinct texts numbered 0.. in byte order, without one global sort task."""
+    distinct = values.select(text).distinct().select(
+        text, F.lit(1).cast("long").alias("n"), text_prefix_number(F.col(text)).alias("_prefix")
+    )
+    ranked = running_sums(distinct, text, ["n"], range_on="_prefix")
+    return ranked.select(text, F.col("n_before").cast("int").alias("code"))
+
+
 def fill_from_neighbour(
     df: DataFrame, columns: Sequence[str], order: str, by: Sequence[str] = (),
     backward: bool = False,
