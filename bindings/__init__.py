@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["tables", "scores", "evaluation", "cleaning", "statistics", "inference"]
+MODULES = ["tables", "scores", "evaluation", "cleaning", "statistics", "inference", "neighbours"]
 
 
 def load():

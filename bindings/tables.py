@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from bindings.base import cohort, query, r6, rounded, table, with_cohort
 from riskloom.operators import project
+from riskloom.session import shared_folder
 from riskloom.sources import tables
 
 
 def scratch(spark) -> str:
-    """New folder below the shared checkpoint folder when there is one, else a local test folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        return tempfile.mkdtemp(prefix="riskloom-io-")
-    return f"{root}/riskloom-io-{spark.sparkContext.applicationId}-{next(_serial)}"
-
-
-def _count():
-    n = 0
-    while True:
-        n += 1
-        yield n
-
-
-_serial = _count()
+    """New folder for one round trip through a file format."""
+    return f"{shared_folder(spark)}/io-{uuid.uuid4().hex}"
 
 
 @query(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.tails import chi2_tail, f_tail, normal_tail, t_tail
 from riskloom.operators.prefix import value_ranks, with_cut_range
 from riskloom.operators.quantiles import clean_double, quantiles
+from riskloom.session import cut_lineage
 
 _PAIRS_PER_SCAN = 400
 
@@ -119,9 +120,10 @@ def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     one). Pairs in different ranges on both axes follow from the grid counts; pairs sharing an x
     range, or only a y range, are counted inside that range by merge counting.
     """
-    counts = _pair_counts(df, a, b)
+    counts = cut_lineage(_pair_counts(df, a, b))  # read by every step below
     for axis in ("x", "y"):
         counts = with_cut_range(counts, axis).withColumnRenamed("_range", f"r{axis}")
+    counts = cut_lineage(counts)
     grid = counts.groupBy("rx", "ry").agg(F.sum("w").alias("w"))
 
     def inside_x(pdf: pd.DataFrame) -> pd.DataFrame:

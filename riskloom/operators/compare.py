@@ -13,8 +13,15 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.special import normal_quantile
 from riskloom.functions.tails import normal_tail, t_quantile, t_tail
-from riskloom.operators.evaluate import rank_measures, ratio, ranked_scores, score_histogram
+from riskloom.operators.evaluate import (
+    rank_measures,
+    ranked_scores,
+    ratio,
+    score_histogram,
+    threshold_metrics,
+)
 from riskloom.operators.prefix import running_sums, sums_over_ranges, with_range
+from riskloom.session import cut_lineage
 
 Z95 = 1.96
 
@@ -186,8 +193,12 @@ def jackknife(
     same label and score share one value. ``ci_low``/``ci_high`` divide the standard error by sqrt(n)
     once more (kept for comparability); ``ci_standard_*`` do not.
     """
+    counts = threshold_metrics(df, label, score, threshold).first()  # one small row
+    whole = {c: counts[c] for c in ("tp", "fp", "fn", "tn")}
+    rows_total = sum(whole.values())
+    error_total = counts.brier * rows_total
     hist = with_range(score_histogram(df, label, score), "score", ["pos", "neg"])
-    ranked = sums_over_ranges(hist, "score", ["pos", "neg"])
+    ranked = cut_lineage(sums_over_ranges(hist, "score", ["pos", "neg"]))  # one row per score
     pos, neg = F.col("pos"), F.col("neg")
     tp = (F.col("pos_total") - F.col("pos_before")).cast("double")
     called = tp + F.col("neg_total") - F.col("neg_before")
@@ -206,62 +217,57 @@ def jackknife(
     above = F.col("a_total") - F.col("a_before") - F.col("a")
     own = F.coalesce(F.try_divide((pos - 1) * (tp - 1), called - 1), zero)
     hit = (F.col("score") >= threshold).cast("int")
-    # one struct per (level, label): weight and left-out values
-    event = F.struct(
-        pos.alias("w"),
-        F.lit(1).alias("y"),
-        F.try_divide(F.col("wins_total") - F.col("neg_before") - neg / 2.0, (p - 1) * q).alias("auroc"),
-        F.try_divide(above + own + F.col("b_before"), p - 1).alias("auprc"),
-    )
-    other = F.struct(
-        neg.alias("w"),
-        F.lit(0).alias("y"),
-        F.try_divide(F.col("wins_total") - (p - F.col("pos_before") - pos / 2.0), p * (q - 1)).alias("auroc"),
-        F.try_divide(above + F.col("c") + F.col("c_before"), p).alias("auprc"),
-    )
-    sides = s.select("score", hit.alias("hit"), n.alias("n"), F.explode(F.array(event, other)).alias("r"))
-    sides = sides.select("score", "hit", "n", "r.*").filter("w > 0")
-    error = F.pow(F.col("score") - F.col("y"), 2)
-    totals = sides.agg(
-        F.struct(
-            F.sum(F.col("w") * error).alias("err"),
-            *[
-                F.sum(F.when((F.col("y") == y) & (F.col("hit") == h), F.col("w")).otherwise(F.lit(0))).alias(name)
-                for name, y, h in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))
-            ],
-        )
-    ).scalar()
-    sides = sides.withColumn("t", totals)
-    left = {
-        name: F.col(f"t.{name}") - ((F.col("y") == y) & (F.col("hit") == h)).cast("int")
-        for name, y, h in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))
+    auroc = {
+        1: F.try_divide(F.col("wins_total") - F.col("neg_before") - neg / 2.0, (p - 1) * q),
+        0: F.try_divide(F.col("wins_total") - (p - F.col("pos_before") - pos / 2.0), p * (q - 1)),
     }
-    metrics = {
-        "auroc": F.col("auroc"),
-        "auprc": F.col("auprc"),
-        "accuracy": ratio(left["tp"] + left["tn"], F.col("n") - 1),
-        "precision": ratio(left["tp"], left["tp"] + left["fp"]),
-        "recall": ratio(left["tp"], left["tp"] + left["fn"]),
-        "f1": ratio(2 * left["tp"], 2 * left["tp"] + left["fp"] + left["fn"]),
-        "brier": (F.col("t.err") - error) / (F.col("n") - 1),
+    auprc = {
+        1: F.try_divide(above + own + F.col("b_before"), p - 1),
+        0: F.try_divide(above + F.col("c") + F.col("c_before"), p),
     }
-    valued = sides.select("w", *[c.alias(m) for m, c in metrics.items()])
-    # shift by any one value: left-out values differ only slightly, so no digits are lost
-    anchor = valued.agg(F.struct(*[F.min(m).alias(m) for m in metrics])).scalar()
-    shifted = valued.withColumn("anchor", anchor)
-    w = F.col("w").cast("double")
-    row = shifted.agg(
-        *[
-            F.struct(
-                F.sum(w).alias("n"),
-                F.min(f"anchor.{m}").alias("anchor"),
-                F.sum(w * (F.col(m) - F.col(f"anchor.{m}"))).alias("d1"),
-                F.sum(w * F.pow(F.col(m) - F.col(f"anchor.{m}"), 2)).alias("d2"),
-            ).alias(m)
-            for m in metrics
-        ]
+
+    def left_out(y: int) -> dict[str, Column]:
+        """The seven metrics after taking out one row of this level with label ``y``."""
+        left = {
+            name: F.lit(whole[name]) - (hit == h).cast("int") * int(y == label_of)
+            for name, label_of, h in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))
+        }
+        error = (F.col("score") - y) * (F.col("score") - y)
+        return {
+            "auroc": auroc[y],
+            "auprc": auprc[y],
+            "accuracy": ratio(left["tp"] + left["tn"], n - 1),
+            "precision": ratio(left["tp"], left["tp"] + left["fp"]),
+            "recall": ratio(left["tp"], left["tp"] + left["fn"]),
+            "f1": ratio(2 * left["tp"], 2 * left["tp"] + left["fp"] + left["fn"]),
+            "brier": (F.lit(error_total) - error) / (n - 1),
+        }
+
+    # shift by the value on all rows: left-out values differ only slightly, so no digits are lost
+    full = {m: F.lit(counts[m]) for m in ("accuracy", "precision", "recall", "f1", "brier")}
+    full["auroc"] = F.try_divide(F.col("wins_total"), p * q)
+    full["auprc"] = F.try_divide(F.col("a_total"), p)
+    event, other = left_out(1), left_out(0)
+
+    # one row per level, label and metric: four sums each instead of dozens in one aggregate
+    entries = [
+        F.struct(
+            F.lit(m).alias("metric"), weight.cast("double").alias("w"),
+            F.when(weight > 0, values[m] - full[m]).otherwise(zero).alias("gap"), full[m].alias("full"),
+        )
+        for weight, values in ((pos, event), (neg, other))
+        for m in values
+    ]
+    w, gap = F.col("w"), F.col("gap")
+    long = (
+        s.select(F.explode(F.array(*entries)).alias("e"))
+        .select("e.*")
+        .groupBy("metric")
+        .agg(
+            F.sum(w).alias("n"), F.max("full").alias("anchor"), F.sum(w * gap).alias("d1"),
+            F.sum(w * gap * gap).alias("d2"),
+        )
     )
-    long = row.unpivot([], list(metrics), "metric", "s").select("metric", "s.*")
     rows, d = F.col("n"), F.col("d1") / F.col("n")
     se = F.sqrt((rows - 1) / rows * F.greatest(F.col("d2") - rows * d * d, zero))
     reach = t_quantile(F.lit((1 + confidence) / 2), rows - 1)
@@ -418,8 +424,6 @@ def rank_models(
 
 def model_metrics(df: DataFrame, label: str, score: str, model: str, threshold: float = 0.5) -> DataFrame:
     """Long (model, metric, value) for all models' predictions, in one pass per measure family."""
-    from riskloom.operators.evaluate import threshold_metrics
-
     rates = threshold_metrics(df, label, score, threshold, [model])
     ranks = rank_measures(ranked_scores(df, label, score, [model]), [model])
     names = ["auroc", "auprc", "accuracy", "precision", "recall", "f1", "specificity", "npv", "brier"]

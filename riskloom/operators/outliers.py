@@ -46,6 +46,7 @@ class FittedOutliers:
     minimum: float | None = None
     all_positive: bool = False
     score_cut: float | None = None
+    flag_table: DataFrame | None = field(default=None, repr=False)  # flagged values, one per row
     scorer: object | None = field(default=None, repr=False)  # column -> anomaly score column
 
     def flag(self) -> Column:
@@ -63,6 +64,8 @@ class FittedOutliers:
                 limit, factor = rule.modified_zscore_threshold, MAD_SCALE
             distance = F.abs(F.lit(factor) * (x - F.lit(self.centre)) / F.lit(self.scale))
             return F.coalesce(distance > F.lit(limit), F.lit(False))
+        if self.flag_table is not None:
+            return F.col(f"_flag_{self.column}").isNotNull()
         if self.scorer is not None:
             return F.coalesce(self.scorer(x) > F.lit(self.score_cut), F.lit(False))
         return F.lit(False)
@@ -93,17 +96,28 @@ class OutlierModel:
     def __init__(self, fitted: Mapping[str, FittedOutliers]):
         self.fitted = dict(fitted)
 
+    def _flagged(self, df: DataFrame) -> DataFrame:
+        """Join the flagged values of methods that decide per distinct value."""
+        for c, f in self.fitted.items():
+            if f.flag_table is not None:
+                values = f.flag_table.select(F.col("value").alias(f"_flag_{c}"))
+                df = df.join(values, clean_double(F.col(c)) == F.col(f"_flag_{c}"), "left")
+        return df
+
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({c: f.treated() for c, f in self.fitted.items()})
+        treated = self._flagged(df).withColumns({c: f.treated() for c, f in self.fitted.items()})
+        return treated.select(*df.columns)
 
     def flags(self, df: DataFrame, suffix: str = "_outlier") -> DataFrame:
-        return df.withColumns({f"{c}{suffix}": f.flag() for c, f in self.fitted.items()})
+        marks = {f"{c}{suffix}": f.flag() for c, f in self.fitted.items()}
+        return self._flagged(df).withColumns(marks).select(*df.columns, *marks)
 
     def counts(self, df: DataFrame) -> dict[str, int]:
         """Flagged values per column (also when the treatment is none)."""
         if not self.fitted:
             return {}
-        row = df.agg(*[F.count_if(f.flag()).alias(c) for c, f in self.fitted.items()]).first()
+        flagged = self._flagged(df)
+        row = flagged.agg(*[F.count_if(f.flag()).alias(c) for c, f in self.fitted.items()]).first()
         return {c: row[c] for c in self.fitted}
 
     def bounds_table(self, df: DataFrame) -> DataFrame:

@@ -119,6 +119,19 @@ def value_ranks(
     return ranked.withColumn("midrank", F.col("n_before") + (F.col("n") + 1) / 2.0)
 
 
+def weighted_quantile(df: DataFrame, value: str, weight: str, prob: float) -> float | None:
+    """Linear-interpolated quantile when each row stands for ``weight`` rows."""
+    ranked = value_ranks(df, value, weight=weight)
+    h = (F.col("n_total") - 1) * F.lit(prob)
+    inside = lambda at: (F.col("n_before") <= at) & (at < F.col("n_before") + F.col("n"))
+    row = ranked.agg(
+        F.max(F.when(inside(F.floor(h)), F.col(value))).alias("low"),
+        F.max(F.when(inside(F.ceil(h)), F.col(value))).alias("high"),
+        F.max(h - F.floor(h)).alias("part"),
+    ).first()
+    return None if row.low is None else row.low + (row.high - row.low) * row.part
+
+
 def text_prefix_number(text: Column) -> Column:
     """First seven bytes as a number: grows with the byte order of the text."""
     head = F.rpad(F.hex(F.substring(F.encode(text, "utf-8"), 1, 7)), 14, "0")
