@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ["tables", "scores", "evaluation", "cleaning", "statistics", "inference", "neighbours"]
+MODULES = [
+    "tables", "scores", "evaluation", "cleaning", "statistics", "inference", "neighbours", "resampling", "modelling",
+]
 
 
 def load():

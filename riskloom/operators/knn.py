@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.hashing import hash_order
-from riskloom.session import cut_lineage
+from riskloom.session import cut_lineage, spread
 
 MAX_BOXES = 4_096  # bounds the box table sent to every task (boxes x 2 x dimensions numbers)
 BLOCK_POINTS = 8_192
@@ -156,8 +156,8 @@ def _visit(targets: DataFrame, blocks: DataFrame, sizes: DataFrame, k: int, skip
         "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1))
     ).select("p", "keys", "box", "block", "part")
     return (
-        split.groupBy("box", "block", "part")
-        .cogroup(copies.groupBy("box", "block", "part"))
+        spread(split, "box", "block", "part").groupBy("box", "block", "part")
+        .cogroup(spread(copies, "box", "block", "part").groupBy("box", "block", "part"))
         .applyInPandas(_block_join(k, skip_self), "key long, neighbour long, d2 double")
     )
 

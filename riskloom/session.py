@@ -47,3 +47,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/riskloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition for compute-heavy groups: small tables are not merged back into one task."""
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)
