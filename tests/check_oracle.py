@@ -57,7 +57,7 @@ def main() -> int:
     from riskloom.session import build_session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.001"
-    parts = sys.argv[2:]
+    parts = [a for a in sys.argv[2:] if a != "--sql"]  # --sql: only queries with a DuckDB text
     sf_dir = f"/root/testdata/sf{sf}"
     queries, oracles = load()
     spark = build_session(8)
@@ -66,6 +66,8 @@ def main() -> int:
     for name in queries:
         if parts and not any(p in name for p in parts):
             continue
+        if "--sql" in sys.argv and name not in oracles:
+            continue
         start = time.time()
         try:
             df = queries[name](spark, sf_dir)
