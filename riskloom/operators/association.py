@@ -64,7 +64,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     Ranks come from the distinct values of each side and are joined back by value; the rank side
     has one row per value, so a hot value can be split by the adaptive skew join.
     """
-    counts = _pair_counts(df, a, b)
+    counts = cut_lineage(_pair_counts(df, a, b))
     centre = (F.col("n_total") + 1) / 2.0
     rank_x = value_ranks(counts, "x", weight="w").select("x", (F.col("midrank") - centre).alias("rx"), "n_total")
     rank_y = value_ranks(counts, "y", weight="w").select("y", (F.col("midrank") - centre).alias("ry"))

@@ -50,6 +50,7 @@ def _placements(counts: DataFrame, score: str, name: str) -> DataFrame:
 def delong(df: DataFrame, label: str, first: str, second: str) -> DataFrame:
     """Areas of two correlated curves, variance of their difference, z and p (0 and 1 without spread)."""
     counts = _complete(df, label, first, second).groupBy("y", "s1", "s2").agg(F.count("*").alias("w"))
+    counts = cut_lineage(counts)
     placed = counts.join(_placements(counts, "s1", "1"), "s1").join(_placements(counts, "s2", "2"), "s2")
     is_event = F.col("y") == 1
     rows = placed.select(
@@ -197,7 +198,7 @@ def jackknife(
     whole = {c: counts[c] for c in ("tp", "fp", "fn", "tn")}
     rows_total = sum(whole.values())
     error_total = counts.brier * rows_total
-    hist = with_range(score_histogram(df, label, score), "score", ["pos", "neg"])
+    hist = with_range(cut_lineage(score_histogram(df, label, score)), "score", ["pos", "neg"])
     ranked = cut_lineage(sums_over_ranges(hist, "score", ["pos", "neg"]))  # one row per score
     pos, neg = F.col("pos"), F.col("neg")
     tp = (F.col("pos_total") - F.col("pos_before")).cast("double")

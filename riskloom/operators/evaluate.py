@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.prefix import running_sums
 from riskloom.operators.quantiles import quantiles
+from riskloom.session import cut_lineage
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -80,8 +81,12 @@ def score_histogram(df: DataFrame, label: str, score: str, by: Sequence[str] = (
 
 
 def ranked_scores(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """Score histogram with events / non-events below each score and in total."""
-    return running_sums(score_histogram(df, label, score, by), "score", ["pos", "neg"], by)
+    """Score histogram with events / non-events below each score and in total.
+
+    The histogram is written once: ranges, offsets and sums read it instead of the rows.
+    """
+    hist = cut_lineage(score_histogram(df, label, score, by))
+    return running_sums(hist, "score", ["pos", "neg"], by)
 
 
 def rank_measures(ranked: DataFrame, by: Sequence[str] = ()) -> DataFrame:

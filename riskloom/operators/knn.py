@@ -162,6 +162,10 @@ def _visit(targets: DataFrame, blocks: DataFrame, sizes: DataFrame, k: int, skip
     )
 
 
+def _finished(best: DataFrame) -> DataFrame:
+    return best.select("key", "neighbour", "d2", F.sqrt("d2").alias("distance"), "position")
+
+
 def knn_join(
     queries: DataFrame, points: DataFrame, key: str, columns: Sequence[str], k: int, skip_self: bool = False
 ) -> DataFrame:
@@ -177,6 +181,13 @@ def knn_join(
     asked = queries.select(F.col(key).cast("long").alias("key"), vector.alias("p")).filter(
         ~F.exists("p", lambda x: x.isNull())
     )
+    if not nodes:  # few distinct points: one box, one visit
+        size = [(0, max(1, -(-n_points // BLOCK_POINTS)), max(1, asked.count() // BLOCK_QUERIES))]
+        sizes = queries.sparkSession.createDataFrame(size, "box int, n_blocks int, n_parts long")
+        hashed = F.pmod(F.xxhash64("p"), F.lit(size[0][1])).cast("int")
+        blocks = donors.select("p", "keys", F.lit(0).alias("box"), hashed.alias("block"))
+        near = _visit(asked.withColumn("box", F.lit(0)), blocks, sizes, k, skip_self)
+        return _finished(_merge_top(near, k))
     boxed = cut_lineage(
         donors.withColumn("box", _box_of(nodes)).withColumn("h", F.pmod(F.xxhash64("p"), F.lit(1 << 20)))
     )
@@ -244,7 +255,7 @@ def knn_join(
     further = rest.select("key", "p", F.explode("others").alias("box"))
     second = _visit(further, blocks, sizes, k, skip_self)
     best = _merge_top(first.drop("position").unionByName(second), k)
-    return best.select("key", "neighbour", "d2", F.sqrt("d2").alias("distance"), "position")
+    return _finished(best)
 
 
 def knn_impute(

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import cut_lineage
+
 RANGE_BITS = 8
 _STEPS = ", ".join(str(1 << bit) for bit in reversed(range(RANGE_BITS)))
 # one split text instead of 255 literals: every later plan step stays cheap to analyse
@@ -115,7 +117,7 @@ def value_ranks(
     """
     n = F.sum(weight) if weight else F.count("*")
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("n"))
-    ranked = running_sums(counts, value, ["n"], by)
+    ranked = running_sums(cut_lineage(counts), value, ["n"], by)
     return ranked.withColumn("midrank", F.col("n_before") + (F.col("n") + 1) / 2.0)
 
 
@@ -143,7 +145,7 @@ def text_codes(values: DataFrame, text: str) -> DataFrame:
     distinct = values.select(text).distinct().select(
         text, F.lit(1).cast("long").alias("n"), text_prefix_number(F.col(text)).alias("_prefix")
     )
-    ranked = running_sums(distinct, text, ["n"], range_on="_prefix")
+    ranked = running_sums(cut_lineage(distinct), text, ["n"], range_on="_prefix")
     return ranked.select(text, F.col("n_before").cast("int").alias("code"))
 
 

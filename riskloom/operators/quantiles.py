@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Up to this many rows the sketch is skipped: the bracket is the whole (small) column.
-SMALL_ROWS = 200_000
+SMALL_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -64,21 +64,23 @@ def _ranks_in_brackets(narrow, open_ranks, counts, margin, small_rows):
     sketched = [(name, rank) for name, rank in open_ranks if name not in small]
     below = {(name, rank): 0 for name, rank in open_ranks}
     if sketched:
-        points = []
-        for name, rank in sketched:
-            share = rank / counts[name]
-            points.append([max(share - margin, 0.0), min(share + margin, 1.0)])
-        row = narrow.agg(
-            *[
-                F.percentile_approx(name, pair, 10_000).alias(f"b{i}")
-                for i, ((name, _), pair) in enumerate(zip(sketched, points))
-            ]
-        ).first()
-        for i, key in enumerate(sketched):
-            low, high = row[i]
-            low_open = points[i][0] == 0.0
-            high_open = points[i][1] == 1.0
-            brackets[key] = (None if low_open else low, None if high_open else high)
+        ends = {
+            (name, rank): (rank / counts[name] - margin, rank / counts[name] + margin)
+            for name, rank in sketched
+        }
+        # one sketch per column serves all of its ranks
+        points = {
+            name: sorted({min(max(e, 0.0), 1.0) for key in sketched if key[0] == name for e in ends[key]})
+            for name in dict.fromkeys(name for name, _ in sketched)
+        }
+        row = narrow.agg(*[F.percentile_approx(n, p, 10_000).alias(n) for n, p in points.items()]).first()
+        for key in sketched:
+            sketch = dict(zip(points[key[0]], row[key[0]]))
+            low, high = ends[key]
+            brackets[key] = (
+                sketch[low] if low > 0.0 else None,
+                sketch[high] if high < 1.0 else None,
+            )
         row = narrow.agg(
             *[
                 (
