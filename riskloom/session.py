@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_RUN_FOLDERS: dict[str, str] = {}
+
 
 def build_session(cores: int | str = "*", app: str = "riskloom") -> SparkSession:
     """Local session for tests and the benchmark; a cluster passes its own session."""
@@ -28,24 +30,35 @@ def build_session(cores: int | str = "*", app: str = "riskloom") -> SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir`` (shared storage on a cluster).
+    """This run's own folder for intermediate tables, below ``spark.checkpoint.dir`` (shared storage on a cluster).
 
     Only where neither that setting nor a checkpoint folder exists, as in local tests, a fresh local
-    folder is used.
+    folder is used. ``clean_up`` removes the run's folder once its results are written.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    app = spark.sparkContext.applicationId
+    if app not in _RUN_FOLDERS:
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if root is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+            root = tempfile.mkdtemp(prefix="riskloom-")
+        _RUN_FOLDERS[app] = f"{root}/riskloom-{app}-{uuid.uuid4().hex[:8]}"
+    return _RUN_FOLDERS[app]
+
+
+def clean_up(spark: SparkSession) -> bool:
+    """Delete this run's intermediate tables; call it when the results are written. True if there were any."""
+    folder = _RUN_FOLDERS.pop(spark.sparkContext.applicationId, None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="riskloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an intermediate table once and read it back: computed once, safe against lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/riskloom-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
