@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import contain, langid, mixing, shards, simhash
+from riskloom.llm import chat, contain, langid, lines, mixing, shards, simhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,3 +62,28 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contain.containment(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_item", "n_shared", "containment")
+
+
+TOP_K_SQL = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+    FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10"""
+
+
+@query("op4_pivot_top_k", TOP_K_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.quantised(table(spark, sf_dir, "embeddings")), every=100, k=10)
+
+
+@query("op9_line_site_spread", lines.lines_sql())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lines.drop_widespread_lines(docs, site="source", least=10).select("doc_id", "source", "text", "n_lines", "n_removed")
+
+
+@query("op10_chat_windows", chat.chat_sql())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.windows(chat.with_probe(table(spark, sf_dir, "conversations"))))
