@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, contain, langid, lines, mixing, shards, simhash, topk
+from riskloom.llm import chat, contain, langid, lines, mixing, secrets, shards, simhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,3 +87,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_chat_windows", chat.chat_sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.windows(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
+@query("op5_secret_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs.select("doc_id", "text"), secrets.train(docs))
+
+    def count(kind: str):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), "base_sha256", F.col("span_text").alias("spans"))
