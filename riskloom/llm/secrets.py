@@ -2,7 +2,8 @@
 
 Tokens are tagged O (outside), B (secret begins) or I (inside). Scores come from the token's shape, the two neighbouring
 tokens, the file as a whole and the transition; they are fitted by maximum likelihood (forward-backward) on windows of
-a bounded sample, labelled by the patterns, with the neighbours hidden at times so that shape alone must tell. Viterbi
+a bounded sample, labelled by the patterns, with secrets recast over other alphabets and neighbours hidden at times, so that shape alone
+must tell. Viterbi
 decodes whole texts. Tokens whose O score beats the others by more than any transition can bring back are O in every
 best path; Viterbi runs over the stretches between them, which gives the same tags.
 """
@@ -31,6 +32,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"""[^\x20\x09-\x0D"'=:,;()\[\]{}<>|]+""")
 KEYWORD = re.compile(r"passw|secret|token|api_?key|credential|bearer|auth|private", re.IGNORECASE)
+DIGIT = re.compile(r"\d")
 O, B, I = 0, 1, 2  # noqa: E741
 N_SHAPE, N_NEAR, N_FILE = 22, 7, 4
 
@@ -130,17 +132,20 @@ def likelihood(f: Field, x: tuple, y: np.ndarray) -> tuple[float, Field]:
     return float((z.sum() - score) / n), g
 
 
-def fit(windows: list[tuple[list[str], list[int], list[float]]], length: int = 24, steps: int = 250, rate: float = 0.08, ridge: float = 0.002, seed: int = 3) -> Field:
-    """Adam over windows of ``length`` tokens (with one token of context at either end)."""
+def fit(windows: list[tuple[list[str], list[int], list[float]]], length: int = 24, steps: int = 300, rate: float = 0.15, ridge: float = 0.0005, seed: int = 3) -> Field:
+    """Adam over windows of ``length`` tokens (with one token of context at either end); half of each batch holds secrets."""
     rng = np.random.default_rng(seed)
     own = np.array([[shape(t) for t in w[1:-1]] for w, _, _ in windows], float)
     sides = np.array([[near(t) for t in w] for w, _, _ in windows], float)
     tags, files = np.array([y for _, y, _ in windows]), np.array([f for _, _, f in windows], float)
     f = Field(*(np.zeros(s) for s in ((N_SHAPE, 3), (N_NEAR, 3), (N_NEAR, 3), (N_FILE, 3), (3, 3), 3)))
+    holding = np.flatnonzero((tags == B).any(axis=1))
+    if not len(holding):
+        holding = np.arange(len(windows))
     names = list(vars(f))
     first, second = {k: 0.0 for k in names}, {k: 0.0 for k in names}
     for step in range(1, steps + 1):
-        at = rng.integers(0, len(windows), min(len(windows), 128))
+        at = np.concatenate([rng.choice(holding, 64), rng.integers(0, len(windows), 64)])
         shown = rng.random((len(at), length, 1)) < 0.6
         x = (own[at], sides[at, :-2] * shown, sides[at, 2:] * shown, files[at])
         _, g = likelihood(f, x, tags[at])
@@ -162,6 +167,19 @@ def _tagged(text: str) -> tuple[list[str], list[int]]:
     return tokens, tags
 
 
+ALPHABETS = (
+    "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-",
+)
+
+
+def recast(token: str, rng: np.random.Generator) -> str:
+    """A secret of about the same length over another alphabet, so that the field learns shapes beyond the patterns'."""
+    letters = ALPHABETS[rng.integers(0, len(ALPHABETS))]
+    n = max(20, len(token) + int(rng.integers(-12, 5)))
+    return "".join(letters[i] for i in rng.integers(0, len(letters), n))
+
+
 def train(docs: DataFrame, max_docs: int = 4000, windows_per_doc: int = 3, length: int = 24, **settings) -> Field | None:
     """Fit on at most about ``max_docs`` documents chosen by hash of their id, ``windows_per_doc`` windows around
     pattern matches and as many elsewhere; None without any text."""
@@ -189,6 +207,8 @@ def train(docs: DataFrame, max_docs: int = 4000, windows_per_doc: int = 3, lengt
                     y = [*tags, *[O] * length][a : a + length]
                     if a:
                         w[0] = tokens[a - 1]
+                    if rng.random() < 0.6:
+                        w = [recast(t, rng) if 0 < k <= length and y[k - 1] == B else t for k, t in enumerate(w)]
                     out.append((w, y, file))
             yield pd.DataFrame(out, columns=["w", "y", "f"])
 
@@ -202,7 +222,7 @@ class _Tagger:
 
     def __init__(self, field: Field, caution: float, most: int = 400_000):
         self.field, self.caution, self.most = field, caution, most
-        self.slack = field.slack()
+        self.slack, self.plain = field.slack(), {}
         self._clear()
 
     def _clear(self) -> None:
@@ -212,13 +232,23 @@ class _Tagger:
         self._learn([""])
 
     def _learn(self, tokens: list[str]) -> None:
-        f = self.field
-        own, side = np.array([shape(t) for t in tokens], float) @ f.own, np.array([near(t) for t in tokens], float)
-        if len(self.rows) == 0:
-            own[0] = 0
-        self.rows.update(zip(tokens, range(len(self.rows), len(self.rows) + len(tokens))))
-        self.kept = np.concatenate([self.kept, np.hstack([own, side @ f.left, side @ f.right]).astype(np.float32)])
-        self.digit = np.concatenate([self.digit, np.array([any(c.isdigit() for c in t) for t in tokens])])
+        start = len(self.rows)
+        self.rows.update(zip(tokens, range(start, start + len(tokens))))
+        kept, digit = [], []
+        for t in tokens:
+            has = DIGIT.search(t) is not None
+            digit.append(has)
+            # The features of a short token without digits depend on these alone.
+            key = (len(t), t.isascii() and t.isalpha(), t.isalpha(), KEYWORD.search(t) is not None) if len(t) < 16 and not has else None
+            row = self.plain.get(key) if key else None
+            if row is None:
+                f, side = self.field, np.array(near(t))
+                row = np.concatenate([np.array(shape(t), float) @ f.own, side @ f.left, side @ f.right])
+                if key:
+                    self.plain[key] = row
+            kept.append(row)
+        self.kept = np.concatenate([self.kept, np.array(kept, np.float32)])
+        self.digit = np.concatenate([self.digit, np.array(digit)])
 
     def secrets(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         """Spans (start, end) in code points of each text."""
