@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, contain, langid, lines, mixing, secrets, shards, simhash, topk
+from riskloom.llm import chat, contain, langid, lines, mixing, repeats, secrets, shards, simhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,3 +98,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     return found.select("doc_id", count("assign"), count("access"), count("hex"), "base_sha256", F.col("span_text").alias("spans"))
+
+
+@query("op3_recompression_repeats")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
