@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -63,6 +64,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(table: DataFrame) -> None:
+    """Delete a table of ``cut_lineage`` that no later step reads."""
+    spark = table.sparkSession
+    files = table.inputFiles()
+    folder = shared_folder(spark)
+    if files and folder.rpartition("/")[2] in files[0]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now: it does so once their plans are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition for compute-heavy groups: small tables are not merged back into one task."""
     spark = df.sparkSession
