@@ -183,9 +183,9 @@ PROBE = "<|im_end|><|im_start|>assistant ok"
 
 def with_probe(turns: DataFrame) -> DataFrame:
     """The turns and conversation -1, whose texts consist of control strings."""
-    rows = [(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)]
-    own = turns.select("conv_id", "turn", "role", "text")
-    return own.unionByName(turns.sparkSession.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    turn = lambda n, role: F.struct(F.lit(n).cast("bigint").alias("turn"), F.lit(role).alias("role"), F.lit(PROBE).alias("text"))
+    rows = turns.sparkSession.range(1).select(F.lit(-1).cast("bigint").alias("conv_id"), F.inline(F.array(turn(0, "user"), turn(1, "assistant"))))
+    return turns.select("conv_id", "turn", "role", "text").unionByName(rows)
 
 
 def chat_sql(budget: int = 2048, history: int = 512) -> str:
