@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from bindings.base import cohort, query, r6, rounded, table, with_cohort
 from riskloom.functions import bands, scores
+from riskloom.operators.impute import apply_fills, fit_fills
 from riskloom.operators import compare, components, knn
 from riskloom.operators.outliers import OutlierRule, fit_outliers
 from riskloom.operators.split import random_split
@@ -28,8 +29,9 @@ def rows(spark, sf_dir, categorical=CATEGORICAL):
 
 
 def dense(spark, sf_dir):
-    """Rows without gaps, numbers only."""
-    return cut_lineage(models.model_input(cohort(spark, sf_dir), "mortality", KEY, NUMERIC).dropna())
+    """All rows, numbers only; gaps hold the column's median."""
+    data = models.model_input(cohort(spark, sf_dir), "mortality", KEY, NUMERIC)
+    return cut_lineage(apply_fills(data, fit_fills(data, {c: "median" for c in NUMERIC})))
 
 
 PLAIN = ModelSpec("logreg", NUMERIC, (), {"maxIter": 15})

@@ -34,14 +34,14 @@ def s1_read_table(spark, sf_dir):
     "SELECT doc_id, CAST(length(text) AS INT) AS n_letters, md5(text) AS digest FROM documents",
 )
 def s2_csv_encoding_fallback(spark, sf_dir):
-    """Documents written as utf-8 csv and read back through the encoding probe."""
+    """Documents written as latin-1 csv and read back through the encoding probe."""
     path = f"{scratch(spark)}/documents.csv"
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # text travels as hex: line breaks inside a cell would force whole-file parsing
-    docs.withColumn("text", F.hex(F.encode("text", "utf-8"))).write.option("header", True).csv(path)
+    # cells hold line breaks and quotes; the letters are all in latin-1, so the utf-8 probe must fall back
+    latin = docs.write.option("header", True).option("escape", '"').option("encoding", "iso-8859-1")
+    latin.csv(path)
     back = tables.read_csv(spark, path, schema=docs.schema)
-    text = F.decode(F.unhex("text"), "utf-8")
-    return back.select("doc_id", F.length(text).alias("n_letters"), F.md5(F.encode(text, "utf-8")).alias("digest"))
+    return back.select("doc_id", F.length("text").alias("n_letters"), F.md5(F.encode("text", "utf-8")).alias("digest"))
 
 
 @query(
@@ -122,7 +122,7 @@ _TEXT = ["sexo", "indice_killip", "peso", "tiempo_isquemia", "complicaciones"]
 def p3_leakage_filter(spark, sf_dir):
     rows = cohort(spark, sf_dir).select("edad", "creatinina", "mortality", *_TEXT)
     kept = project.drop_leakage(rows, deny=["MORTALITY"])
-    return kept.limit(1).select(F.explode(F.array(*[F.lit(c) for c in kept.columns])).alias("variable"))
+    return spark.createDataFrame([(c,) for c in kept.columns], "variable string")
 
 
 _INPUTS = ["edad", "frecuencia_cardiaca", "presion_arterial_sistolica", "creatinina"]

@@ -38,11 +38,11 @@ def ordinal_code(column: str, order: Sequence[str], unknown: int = -1) -> Column
     return expr
 
 
-def fit_one_hot(df: DataFrame, column: str) -> list[str]:
-    """Sorted categories; fails on columns too wide to become one column per category."""
-    rows = df.select(as_category(column).alias("c")).distinct().limit(MAX_ONE_HOT + 1).collect()
-    if len(rows) > MAX_ONE_HOT:
-        raise ValueError(f"{column!r} has more than {MAX_ONE_HOT} categories")
+def fit_one_hot(df: DataFrame, column: str, most: int = MAX_ONE_HOT) -> list[str]:
+    """Sorted categories; fails beyond ``most``, as each becomes a column of the table."""
+    rows = df.select(as_category(column).alias("c")).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{column!r} has more than {most} categories; raise ``most`` for as many columns")
     return sorted(r.c for r in rows)
 
 

@@ -223,27 +223,44 @@ def edited_neighbours(
 
 
 def with_synthetic(
-    df: DataFrame, made: DataFrame, target: str, key: str, columns: Sequence[str], seed: int = 42
+    df: DataFrame, made: DataFrame, target: str, key: str, columns: Sequence[str], seed: int = 42,
+    categories: Sequence[str] = (),
 ) -> DataFrame:
-    """Real and synthetic rows in one table; synthetic keys are negative hashes of their origin."""
+    """Real and synthetic rows in one table; synthetic keys are negative hashes of their origin.
+
+    Every real row stays, also one with gaps. A synthetic row that brings no category of its own has its parent's.
+    """
+    own = [c for c in categories if c in made.columns]
+    lent = [c for c in categories if c not in made.columns]
+    if lent:
+        parents = df.select(F.col(key).cast("long").alias("parent"), *lent)
+        made = made.join(parents, "parent")
     fresh = made.select(
         (-hash_order(F.concat_ws("/", F.col("parent"), F.col("copy")), f"{seed}-key") - 1).alias(key),
-        *[F.col(c).cast("double").alias(c) for c in columns], target,
+        *[F.col(c).cast("double").alias(c) for c in columns], *own, *lent, target,
     )
-    real = df.select(F.col(key).cast("long").alias(key), *[F.col(c).cast("double").alias(c) for c in columns], target)
-    return real.dropna(subset=list(columns)).unionByName(fresh)
+    real = df.select(
+        F.col(key).cast("long").alias(key), *[F.col(c).cast("double").alias(c) for c in columns], *categories, target
+    )
+    return real.unionByName(fresh)
 
 
-def smote_tomek(df: DataFrame, target: str, key: str, columns: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
+def smote_tomek(
+    df: DataFrame, target: str, key: str, columns: Sequence[str], k: int = 5, seed: int = 42, categories: Sequence[str] = ()
+) -> DataFrame:
     """SMOTE, then both sides of every Tomek link are dropped."""
-    grown = cut_lineage(with_synthetic(df, smote(df, target, key, columns, k, seed), target, key, columns, seed))
+    made = smote(df, target, key, columns, k, seed)
+    grown = cut_lineage(with_synthetic(df, made, target, key, columns, seed, categories))
     linked = tomek_links(grown, target, key, columns).select(F.col("key").alias(key))
     return grown.join(linked, key, "left_anti")
 
 
-def smote_enn(df: DataFrame, target: str, key: str, columns: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
+def smote_enn(
+    df: DataFrame, target: str, key: str, columns: Sequence[str], k: int = 5, seed: int = 42, categories: Sequence[str] = ()
+) -> DataFrame:
     """SMOTE, then rows of any class whose three neighbours do not all share their class are dropped."""
-    grown = cut_lineage(with_synthetic(df, smote(df, target, key, columns, k, seed), target, key, columns, seed))
+    made = smote(df, target, key, columns, k, seed)
+    grown = cut_lineage(with_synthetic(df, made, target, key, columns, seed, categories))
     losers = neighbour_mix(grown, grown, target, key, columns, 3).filter("others > 0")
     return grown.join(losers.select(F.col("key").alias(key)), key, "left_anti")
 
@@ -254,16 +271,25 @@ STRATEGIES = {
 
 
 def balance(
-    df: DataFrame, strategy: str, target: str, key: str, columns: Sequence[str], seed: int = 42
+    df: DataFrame, strategy: str, target: str, key: str, columns: Sequence[str], seed: int = 42,
+    categories: Sequence[str] = (),
 ) -> DataFrame:
-    """Balanced table (key, columns, target) by strategy name."""
+    """Balanced table (key, columns, categories, target) by strategy name.
+
+    No row is dropped for its gaps: rows with a missing number stay as they are and neither spawn nor meet
+    neighbours. Fill gaps first where they should take part.
+    """
     from riskloom.operators.balance import over_sample, under_sample
 
-    narrow = df.select(key, *columns, target).dropna(subset=list(columns))
+    narrow = df.select(key, *columns, *categories, target)
     if strategy in ("none", "class_weight"):
         return narrow
     if strategy in STRATEGIES:
-        return with_synthetic(narrow, STRATEGIES[strategy](narrow, target, key, columns, seed=seed), target, key, columns, seed)
+        made = STRATEGIES[strategy](narrow, target, key, columns, seed=seed)
+        return with_synthetic(narrow, made, target, key, columns, seed, categories)
+    if strategy == "smote_nc":
+        made = smote_nc(narrow, target, key, columns, categories, seed=seed)
+        return with_synthetic(narrow, made, target, key, columns, seed, categories)
     if strategy == "random_over":
         return over_sample(narrow, target, key, seed).drop("copy")
     if strategy == "random_under":
@@ -273,7 +299,7 @@ def balance(
     if strategy == "enn":
         return edited_neighbours(narrow, target, key, columns)
     if strategy == "smote_tomek":
-        return smote_tomek(narrow, target, key, columns, seed=seed)
+        return smote_tomek(narrow, target, key, columns, seed=seed, categories=categories)
     if strategy == "smote_enn":
-        return smote_enn(narrow, target, key, columns, seed=seed)
+        return smote_enn(narrow, target, key, columns, seed=seed, categories=categories)
     raise ValueError(f"unknown strategy {strategy!r}")

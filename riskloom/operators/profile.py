@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ class ColumnFacts:
     n_rows: int
     n_present: int
     n_distinct: int | None  # exact when small, None when surely more than a few dozen
-    majority_share: float | None  # share of the value that fills more than half, if any
+    majority_share: float | None  # share of the most frequent value, if it reaches the asked threshold
 
     @property
     def is_numeric(self) -> bool:
@@ -44,13 +45,20 @@ def _short_hash(c: str) -> Column:
     return F.shiftright(F.xxhash64(c), 12)
 
 
-def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> list[ColumnFacts]:
+def column_facts(
+    df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 0.5
+) -> list[ColumnFacts]:
     """Type, missing and majority facts of every column from two scans and no row shuffle.
 
-    A value that fills more than half of a column holds the median of the hashed column, so a sketch
-    finds the only candidate and the second scan counts it exactly.
+    A value that fills a share s of a column covers an interval of length s of the hashed column's
+    ranks, so it holds a quantile of any finer grid: a sketch finds the candidates for a share of
+    ``threshold`` or more (the median alone above one half) and the second scan counts them exactly.
     """
     columns = list(columns or df.columns)
+    threshold = max(threshold, 0.001)
+    steps = 2 if threshold >= 0.5 else math.ceil(1.25 / threshold)
+    grid = [i / steps for i in range(1, steps)]
+    accuracy = max(1000, 20 * steps)
     first = df.agg(
         F.count("*").alias("n"),
         *[
@@ -58,7 +66,7 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> list[Co
                 F.count(c).alias("present"),
                 F.approx_count_distinct(c, 0.02).alias("about"),
                 F.percentile_approx(
-                    F.when(F.col(c).isNotNull(), _short_hash(c)), F.lit(0.5), F.lit(1000)
+                    F.when(F.col(c).isNotNull(), _short_hash(c)), grid, F.lit(accuracy)
                 ).alias("middle"),
             ).alias(f"f{i}")
             for i, c in enumerate(columns)
@@ -67,8 +75,13 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> list[Co
     second = df.agg(
         *[
             F.struct(
-                F.count_if(
-                    F.col(c).isNotNull() & (_short_hash(c) == F.lit(first[f"f{i}"].middle))
+                F.greatest(
+                    F.lit(0),
+                    F.lit(0),
+                    *[
+                        F.count_if(F.col(c).isNotNull() & (_short_hash(c) == F.lit(candidate)))
+                        for candidate in sorted(set(first[f"f{i}"].middle or ()))
+                    ],
                 ).alias("hits"),
                 (
                     F.size(F.collect_set(c))
@@ -87,7 +100,8 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> list[Co
         facts.append(
             ColumnFacts(
                 c, types[c].simpleString(), isinstance(types[c], T.NumericType), first.n, present,
-                second[f"f{i}"].distinct, share if share is not None and share > 0.5 else None,
+                second[f"f{i}"].distinct,
+                share if share is not None and (share > 0.5 or share >= threshold and threshold < 0.5) else None,
             )
         )
     return facts

@@ -130,7 +130,7 @@ def fit_cleaning(
     df: DataFrame, config: CleaningConfig, target: str | None = None, key: str | None = None
 ) -> tuple[CleaningModel, DataFrame]:
     """Fit on a table; returns the model and the cleaned table (duplicates removed)."""
-    facts = column_facts(df)
+    facts = column_facts(df, threshold=config.constant_threshold)
     if not facts or facts[0].n_rows == 0:
         raise ValueError("cannot clean an empty table")
     protected = [c for c in (key, None if config.drop_target else target) if c]

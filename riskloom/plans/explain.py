@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import OneHotEncoderModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,10 +141,24 @@ def top_attributions(attributions: DataFrame, key: str, top: int = 10) -> DataFr
 
 
 def model_importance(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
-    """Tree importances or absolute coefficients of the last stage, largest first."""
+    """Tree importances or absolute coefficients of the last stage per source column, largest first.
+
+    ``features``: the numeric columns, then the categorical ones. A category's levels are summed.
+    """
     last = model.stages[-1]
     values = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
-    rows = [(f, abs(float(v))) for f, v in zip(features, values.toArray())]
+    widths: list[int] = []
+    for stage in model.stages:
+        if isinstance(stage, OneHotEncoderModel):
+            keep = 1 if stage.getHandleInvalid() == "keep" else 0
+            widths = [int(n) + keep - (1 if stage.getDropLast() else 0) for n in stage.categorySizes]
+    parts = [1] * (len(values) - sum(widths)) + widths
+    if len(parts) != len(features):
+        raise ValueError(f"the model has {len(parts)} source columns, {len(features)} names were given")
+    numbers, rows, at = values.toArray(), [], 0
+    for name, width in zip(features, parts, strict=True):
+        rows.append((name, float(abs(numbers[at : at + width]).sum())))
+        at += width
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 

@@ -59,9 +59,13 @@ def fit_model(train: DataFrame, spec: ModelSpec, key: str, seed: int = 42) -> Pi
     if spec.balancing == "class_weight" or spec.name.endswith("_balanced"):
         train = train.join(class_weights(train, "label").drop("n"), "label")
     elif spec.balancing != "none":
+        from riskloom.operators.impute import apply_fills, fit_fills
         from riskloom.operators.oversample import balance
 
-        train = cut_lineage(balance(train, spec.balancing, "label", key, list(spec.numeric), seed))
+        # Gaps are filled first, by the training part's own medians, so that every row takes part.
+        numeric = list(spec.numeric)
+        filled = apply_fills(train, fit_fills(train, {c: "median" for c in numeric}))
+        train = cut_lineage(balance(filled, spec.balancing, "label", key, numeric, seed, list(spec.categorical)))
     width = len(spec.numeric)
     weighted = {"weightCol": "weight"} if spec.balancing == "class_weight" else {}
     estimator = classifier(spec.name, width, seed, **spec.params, **weighted)
@@ -355,7 +359,7 @@ def importance_selection(df: DataFrame, features: Sequence[str], key: str, seed:
     ordered = sorted(importances)
     middle = len(ordered) // 2
     median = ordered[middle] if len(ordered) % 2 else (ordered[middle - 1] + ordered[middle]) / 2
-    rows = [(f, float(v), bool(v >= median)) for f, v in zip(features, importances)]
+    rows = [(f, float(v), bool(v >= median)) for f, v in zip(features, importances, strict=True)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double, kept boolean")
 
 

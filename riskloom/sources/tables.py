@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from riskloom.functions import fixed_values as fv
 from riskloom.functions.scores import decimal_comma
+from riskloom.session import cut_lineage
 
 _FORMATS = {".csv": "csv", ".parquet": "parquet"}
 
@@ -53,15 +54,35 @@ def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str = ",",
     encoding: str | None = None,
 ) -> DataFrame:
-    """Csv with header; lines with a wrong number of fields are skipped."""
-    reader = (
+    """Csv with header; lines with a wrong number of fields are skipped, ``bad_csv_lines`` shows them.
+
+    Quoted cells may hold line breaks and doubled quotes. Files with such cells can't be split, so each file is
+    read by one task: write large tables as many files.
+    """
+    reader = _csv_reader(spark, path, sep, encoding).option("mode", "DROPMALFORMED")
+    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
+    return reader.csv(path)
+
+
+def _csv_reader(spark: SparkSession, path: str, sep: str, encoding: str | None):
+    return (
         spark.read.option("header", True)
         .option("sep", sep)
         .option("encoding", encoding or csv_encoding(spark, path))
-        .option("mode", "DROPMALFORMED")
+        .option("multiLine", True)
+        .option("quote", '"')
+        .option("escape", '"')
     )
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    return reader.csv(path)
+
+
+def bad_csv_lines(
+    spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", encoding: str | None = None
+) -> DataFrame:
+    """``line``: the raw records that ``read_csv`` with this schema skips."""
+    wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    reader = _csv_reader(spark, path, sep, encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
+    # Written with all columns, as a reader that is asked for the raw record alone parses nothing.
+    return cut_lineage(reader.schema(wide).csv(path).filter("_bad IS NOT NULL")).select(F.col("_bad").alias("line"))
 
 
 def read_decimal_comma_csv(
@@ -80,7 +101,7 @@ def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "e
         raise ValueError(f"unsupported table format {fmt!r}; use csv or parquet")
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.option("header", True).option("escape", '"').csv(path)
     else:
         writer.parquet(path)
 
