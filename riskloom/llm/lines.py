@@ -56,7 +56,8 @@ def drop_widespread_lines(docs: DataFrame, site: str = "source", least: int = 10
     keyed = docs.select(*names).withColumn("_row", _row_key(docs, site))
     hits = keyed.select("_row", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _hash))).alias("line_hash"))
     per_row = cut_lineage(hits.join(bad, "line_hash", "left_semi").groupBy("_row").agg(F.collect_set("line_hash").alias("_bad")))
-    met = keyed.join(per_row, "_row", "left").withColumn("_lines", _lines(F.col("text")))
+    # Always a sort-merge join: the plan, and what it shuffles, is then the same at every size.
+    met = keyed.join(per_row.hint("merge"), "_row", "left").withColumn("_lines", _lines(F.col("text")))
     kept = F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(
         F.filter("_lines", lambda x: (F.trim(x) == "") | ~F.array_contains("_bad", _hash(x)))
     )
