@@ -6,7 +6,7 @@ so every task gives equal parts equal names without a table that grows with the
 some place depends on its direct neighbours only: inside a window, all symbols but a few at either border come out
 alike wherever the window stands. Its anchor is the longest of those interior symbols at the highest level that has
 one (of equally long ones, the one of least hash); equal windows have equal anchors. Spark counts the anchors over the corpus, only windows with an anchor that
-occurs twice are compared, by 128 bits of window and anchor name, and only those found twice count as repeats.
+occurs twice are compared, by 96 bits of window and anchor name, and only those found twice count as repeats.
 """
 
 from __future__ import annotations
