@@ -1,8 +1,9 @@
 """Running sums over a globally ordered table without a single-task sort.
 
-The order column is cut into at most 256 ranges at its own approximate quantiles. Sums inside a
-range come from a window partitioned by that range; sums of all earlier ranges come from a table
-with one row per range. The ranges only decide where the work happens: the result is exact.
+The order column is cut into ranges at its own approximate quantiles: four for each shuffle partition of
+the session, 256 at least and 4,096 at most. Sums inside a range come from a window partitioned by that
+range; sums of all earlier ranges come from a table with one row per range. The ranges only decide where
+the work happens: the result is exact.
 
 Callers aggregate to one row per distinct value first, so a hot value is one row.
 """
@@ -16,47 +17,54 @@ from pyspark.sql import functions as F
 
 from riskloom.session import cut_lineage
 
-RANGE_BITS = 8
-_STEPS = ", ".join(str(1 << bit) for bit in reversed(range(RANGE_BITS)))
-# one split text instead of 255 literals: every later plan step stays cheap to analyse
-_FRACTIONS = ",".join(str((i + 1) / (1 << RANGE_BITS)) for i in range((1 << RANGE_BITS) - 1))
+RANGE_BITS, MOST_RANGE_BITS = 8, 12
+#: Sampled texts per range, and the characters of each that a cut keeps.
+TEXTS_PER_RANGE, CUT_CHARACTERS = 16, 256
 
 
-def range_of(value: Column, cuts: Column) -> Column:
-    """How many of the 255 sorted cut points are <= value (binary search, stays in the JVM)."""
+def range_bits(df: DataFrame) -> int:
+    """Ranges follow the shuffle partitions of the session, as powers of two."""
+    wanted = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(RANGE_BITS, (wanted - 1).bit_length()), MOST_RANGE_BITS)
+
+
+def range_of(value: Column, cuts: Column, bits: int = RANGE_BITS) -> Column:
+    """How many of the ``2 ** bits - 1`` sorted cut points are <= value (binary search, stays in the JVM)."""
+    steps = ", ".join(str(1 << bit) for bit in reversed(range(bits)))
     return F.aggregate(
-        F.expr(f"array({_STEPS})"),
+        F.expr(f"array({steps})"),
         F.lit(0),
         lambda found, step: found
         + F.when(F.element_at(cuts, found + step) <= value, step).otherwise(F.lit(0)),
     )
 
 
+def _quantile_cuts(order: str, bits: int) -> Column:
+    # one split text instead of many literals: every later plan step stays cheap to analyse
+    fractions = ",".join(str((i + 1) / (1 << bits)) for i in range((1 << bits) - 1))
+    return F.expr(
+        f"percentile_approx(`{order}`, cast(split('{fractions}', ',') AS array<double>), {max(10_000, 8 << bits)})"
+    )
+
+
 def with_range(df: DataFrame, order: str, keep: Sequence[str] = ()) -> DataFrame:
     """Add ``_range`` = position of ``order`` among its own quantile cuts (one lazy subquery).
 
     ``keep`` columns are aggregated along, so that the subquery reads the same exchange as the
     main query instead of a narrower one.
     """
+    bits = range_bits(df)
     cuts = df.agg(
-        F.struct(
-            F.expr(
-                f"percentile_approx(`{order}`, cast(split('{_FRACTIONS}', ',') AS array<double>), 10000)"
-            ).alias("cuts"),
-            *[F.max(c).alias(f"max_{c}") for c in keep],
-        ).alias("s")
+        F.struct(_quantile_cuts(order, bits).alias("cuts"), *[F.max(c).alias(f"max_{c}") for c in keep]).alias("s")
     ).scalar()
-    bounded = df.withColumn("_cuts", cuts["cuts"])  # 255 values, the same for every row
-    return bounded.withColumn("_range", range_of(F.col(order), F.col("_cuts"))).drop("_cuts")
+    bounded = df.withColumn("_cuts", cuts["cuts"])  # the same for every row
+    return bounded.withColumn("_range", range_of(F.col(order), F.col("_cuts"), bits)).drop("_cuts")
 
 
 def with_cut_range(df: DataFrame, order: str) -> DataFrame:
-    """Like ``with_range``, but a cut value is a range of its own (even numbers), so that a hot value
-    never shares its range with others."""
-    cuts = df.agg(
-        F.expr(f"percentile_approx(`{order}`, cast(split('{_FRACTIONS}', ',') AS array<double>), 10000)")
-    ).scalar()
-    bounded = df.withColumn("_cuts", cuts)
+    """Like ``with_range`` with 256 ranges, but a cut value is a range of its own (even numbers), so that a
+    hot value never shares its range with others."""
+    bounded = df.withColumn("_cuts", df.agg(_quantile_cuts(order, RANGE_BITS)).scalar())
     below = range_of(F.col(order), F.col("_cuts"))
     on_cut = F.coalesce(F.get("_cuts", F.col("_range") - 1) == F.col(order), F.lit(False))
     return (
@@ -66,16 +74,33 @@ def with_cut_range(df: DataFrame, order: str) -> DataFrame:
     )
 
 
+def with_text_range(df: DataFrame, text: str) -> DataFrame:
+    """Add ``_range`` by cuts at a hash sample of the texts, so that a common prefix does not fill one range."""
+    bits = range_bits(df)
+    sample = (
+        df.filter(F.col(text).isNotNull())
+        .select(F.substring(text, 1, CUT_CHARACTERS).alias("cut"), F.xxhash64(text).alias("h"))
+        .orderBy("h").limit(TEXTS_PER_RANGE << bits)
+    )
+    ordered = F.sort_array(F.collect_list("cut"))
+    cuts = sample.agg(
+        F.transform(
+            F.sequence(F.lit(1), F.lit((1 << bits) - 1)),
+            lambda i: F.get(ordered, F.floor(i * F.size(ordered) / (1 << bits)).cast("int")),
+        )
+    ).scalar()
+    bounded = df.withColumn("_cuts", cuts)
+    return bounded.withColumn("_range", range_of(F.col(text), F.col("_cuts"), bits)).drop("_cuts")
+
+
 def running_sums(
-    table: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (),
-    range_on: str | None = None,
+    table: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
     """Add ``{c}_before`` (sum over smaller ``order`` values) and ``{c}_total`` for each ``c`` in sums.
 
-    ``table`` has one row per (by, order value); ``by`` columns must not be null. When ``order`` is
-    not numeric, ``range_on`` names a number that never decreases as ``order`` grows.
+    ``table`` has one row per (by, order value), ``order`` is a number; ``by`` columns must not be null.
     """
-    ranged = with_range(table, range_on or order, [*by, *sums])
+    ranged = with_range(table, order, [*by, *sums])
     return sums_over_ranges(ranged, order, sums, by).drop("_range")
 
 
@@ -134,18 +159,10 @@ def weighted_quantile(df: DataFrame, value: str, weight: str, prob: float) -> fl
     return None if row.low is None else row.low + (row.high - row.low) * row.part
 
 
-def text_prefix_number(text: Column) -> Column:
-    """First seven bytes as a number: grows with the byte order of the text."""
-    head = F.rpad(F.hex(F.substring(F.encode(text, "utf-8"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("bigint")
-
-
 def text_codes(values: DataFrame, text: str) -> DataFrame:
     """Distinct texts numbered 0.. in byte order, without one global sort task."""
-    distinct = values.select(text).distinct().select(
-        text, F.lit(1).cast("long").alias("n"), text_prefix_number(F.col(text)).alias("_prefix")
-    )
-    ranked = running_sums(cut_lineage(distinct), text, ["n"], range_on="_prefix")
+    distinct = cut_lineage(values.select(text).distinct().withColumn("n", F.lit(1).cast("long")))
+    ranked = sums_over_ranges(with_text_range(distinct, text), text, ["n"])
     return ranked.select(text, F.col("n_before").cast("int").alias("code"))
 
 

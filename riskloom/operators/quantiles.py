@@ -1,8 +1,10 @@
 """Exact order statistics and quantiles whose memory does not grow with the data.
 
-A sketch brackets each wanted rank, one scan counts the rows below the bracket, and only the rows
-inside it (about one in a few thousand) are grouped and ranked. Brackets are verified and widened
-until they hold the rank, so the answer is exact. Nothing but one value per rank reaches the driver.
+Every column starts as one open interval. A sketch proposes two cuts around each wanted rank, one scan
+counts the rows below and at each cut, and the rank is either found at a cut or lies in one of the
+smaller intervals between them. Intervals are cut again until they hold at most ``BRACKET_ROWS`` rows,
+and only those rows are ranked. The counts decide, not the sketch, so the answer is exact; a hot value
+becomes a cut and never enters a ranking. Nothing but counts and one value per rank reaches the driver.
 """
 
 from __future__ import annotations
@@ -14,8 +16,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this many rows the sketch is skipped: the bracket is the whole (small) column.
-SMALL_ROWS = 1_000_000
+#: Most rows of an interval that one task ranks.
+BRACKET_ROWS = 10_000
+#: Sketch size; its rank error is at most one in so many rows.
+ACCURACY = 10_000
+#: Wanted ranks that share one scan.
+RANKS_PER_SCAN = 64
 
 
 @dataclass(frozen=True)
@@ -33,119 +39,150 @@ def count_values(df: DataFrame, values: Mapping[str, Column]) -> dict[str, int]:
     return {name: row[name] for name in values}
 
 
+@dataclass(frozen=True)
+class _Interval:
+    """Open interval of one column: ``before`` rows up to its lower end, ``inside`` rows in it."""
+
+    name: str
+    low: float | int | None
+    high: float | int | None
+    before: int
+    inside: int
+    ranks: tuple[int, ...]
+    uncut: bool = False  # the sketch has no value left to cut at
+
+    def holds(self) -> Column:
+        value = F.col(self.name)
+        test = value.isNotNull()
+        if self.low is not None:
+            test &= value > F.lit(self.low)
+        if self.high is not None:
+            test &= value < F.lit(self.high)
+        return test
+
+
 def order_statistics(
     df: DataFrame,
     values: Mapping[str, Column],
     ranks: Mapping[str, Sequence[int]],
     counts: Mapping[str, int] | None = None,
-    small_rows: int = SMALL_ROWS,
+    bracket_rows: int = BRACKET_ROWS,
 ) -> dict[tuple[str, int], OrderStatistic]:
     """Exact values at 0-based ``ranks`` of each named expression (double or bigint)."""
     counts = counts or count_values(df, values)
     narrow = df.select(*[c.alias(name) for name, c in values.items()])
-    wanted = {
-        (name, rank)
-        for name, rank_list in ranks.items()
-        for rank in rank_list
-        if 0 <= rank < counts[name]
-    }
+    intervals = []
+    for name, rank_list in ranks.items():
+        wanted = tuple(sorted({r for r in rank_list if 0 <= r < counts[name]}))
+        if wanted:
+            intervals.append(_Interval(name, None, None, 0, counts[name], wanted))
     found: dict[tuple[str, int], OrderStatistic] = {}
-    margin = 5e-4
-    while wanted - found.keys():
-        open_ranks = sorted(wanted - found.keys())
-        found |= _ranks_in_brackets(narrow, open_ranks, counts, margin, small_rows)
-        margin *= 20
+    ready: list[_Interval] = []
+    while intervals:
+        ready += [i for i in intervals if i.inside <= bracket_rows or i.uncut]
+        wide = [i for i in intervals if i.inside > bracket_rows and not i.uncut]
+        intervals = []
+        for batch in _batches(wide):
+            at_cuts, smaller = _cut(narrow, batch)
+            found |= at_cuts
+            intervals += smaller
+    for batch in _batches(ready):
+        found |= _ranked(narrow, batch)
     return found
 
 
-def _ranks_in_brackets(narrow, open_ranks, counts, margin, small_rows):
-    small = {name for name, _ in open_ranks if counts[name] <= small_rows or margin >= 1}
-    brackets: dict[tuple[str, int], tuple | None] = {}
-    sketched = [(name, rank) for name, rank in open_ranks if name not in small]
-    below = {(name, rank): 0 for name, rank in open_ranks}
-    if sketched:
-        ends = {
-            (name, rank): (rank / counts[name] - margin, rank / counts[name] + margin)
-            for name, rank in sketched
-        }
-        # one sketch per column serves all of its ranks
-        points = {
-            name: sorted({min(max(e, 0.0), 1.0) for key in sketched if key[0] == name for e in ends[key]})
-            for name in dict.fromkeys(name for name, _ in sketched)
-        }
-        row = narrow.agg(*[F.percentile_approx(n, p, 10_000).alias(n) for n, p in points.items()]).first()
-        for key in sketched:
-            sketch = dict(zip(points[key[0]], row[key[0]]))
-            low, high = ends[key]
-            brackets[key] = (
-                sketch[low] if low > 0.0 else None,
-                sketch[high] if high < 1.0 else None,
-            )
-        row = narrow.agg(
-            *[
-                (
-                    F.lit(0).cast("long")
-                    if brackets[key][0] is None
-                    else F.count_if(F.col(key[0]) < F.lit(brackets[key][0]))
-                ).alias(f"n{i}")
-                for i, key in enumerate(sketched)
-            ]
-        ).first()
-        for i, key in enumerate(sketched):
-            below[key] = row[i]
-    # one group per bracket; all ranks of a small column share one group
-    groups: list[tuple[str, tuple | None, int]] = [(name, None, 0) for name in sorted(small)]
-    group_ranks: list[list[int]] = [[r for n, r in open_ranks if n == name] for name in sorted(small)]
-    for key in sketched:
-        groups.append((key[0], brackets[key], below[key]))
-        group_ranks.append([key[1]])
+def _batches(intervals: Sequence[_Interval]) -> list[list[_Interval]]:
+    out: list[list[_Interval]] = []
+    room = 0
+    for interval in intervals:
+        if not out or room < len(interval.ranks):
+            out.append([])
+            room = RANKS_PER_SCAN
+        out[-1].append(interval)
+        room -= len(interval.ranks)
+    return out
+
 
+def _cut(
+    narrow: DataFrame, batch: Sequence[_Interval]
+) -> tuple[dict[tuple[str, int], OrderStatistic], list[_Interval]]:
+    """Ranks that lie at a sketched cut, and the intervals between cuts for the others."""
+    margin = 2 / ACCURACY
+    sketches = []
+    for n, i in enumerate(batch):
+        places = [(r - i.before) / i.inside for r in i.ranks]
+        points = sorted({min(max(p + side, 0.0), 1.0) for p in places for side in (-margin, margin)})
+        sketches.append(F.percentile_approx(F.when(i.holds(), F.col(i.name)), points, ACCURACY).alias(f"s{n}"))
+    row = narrow.agg(*sketches).first()
+    cuts = [
+        [
+            c for c in sorted(set(row[n]))
+            if (i.low is None or c > i.low) and (i.high is None or c < i.high)
+        ]
+        for n, i in enumerate(batch)
+    ]
+    tallies = [
+        tally
+        for n, i in enumerate(batch)
+        for j, c in enumerate(cuts[n])
+        for tally in (
+            F.count_if(i.holds() & (F.col(i.name) < F.lit(c))).alias(f"lt{n}_{j}"),
+            F.count_if(F.col(i.name) == F.lit(c)).alias(f"eq{n}_{j}"),
+        )
+    ]
+    row = narrow.agg(*tallies).first() if tallies else None
+    found, smaller = {}, []
+    for n, i in enumerate(batch):
+        # ends of the pieces: value, rows before it, rows up to and including it
+        ends = [(i.low, 0, 0)]
+        for j, c in enumerate(cuts[n]):
+            below = row[f"lt{n}_{j}"]
+            ends.append((c, below, below + row[f"eq{n}_{j}"]))
+        ends.append((i.high, i.inside, i.inside))
+        for (low, _, start), (high, stop, after) in zip(ends, ends[1:]):
+            inner = tuple(r for r in i.ranks if start <= r - i.before < stop)
+            if inner:
+                inside = stop - start
+                smaller.append(_Interval(i.name, low, high, i.before + start, inside, inner, inside == i.inside))
+            for r in i.ranks:
+                if stop <= r - i.before < after:
+                    found[(i.name, r)] = OrderStatistic(high, i.before + stop, after - stop)
+    return found, smaller
+
+
+def _ranked(narrow: DataFrame, batch: Sequence[_Interval]) -> dict[tuple[str, int], OrderStatistic]:
+    """Ranks of intervals that are small enough to be ordered by one task each."""
     types = dict(narrow.dtypes)
-    result = {}
+    found = {}
     for kind in ("bigint", "double"):
-        picks = [
-            i for i, g in enumerate(groups) if (types[g[0]] == "double") == (kind == "double")
-        ]
+        picks = [(g, i) for g, i in enumerate(batch) if (types[i.name] == "double") == (kind == "double")]
         if not picks:
             continue
-        entries = []
-        for i in picks:
-            name, bracket, _ = groups[i]
-            inside = F.col(name).isNotNull()
-            if bracket and bracket[0] is not None:
-                inside &= F.col(name) >= F.lit(bracket[0])
-            if bracket and bracket[1] is not None:
-                inside &= F.col(name) <= F.lit(bracket[1])
-            entries.append(
-                F.when(inside, F.struct(F.lit(i).alias("g"), F.col(name).cast(kind).alias("v")))
-            )
+        entries = [
+            F.when(i.holds(), F.struct(F.lit(g).alias("g"), F.col(i.name).cast(kind).alias("v"))) for g, i in picks
+        ]
         long = narrow.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
         hist = long.groupBy("g", "v").agg(F.count("*").alias("n"))
         before = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
         ranked = hist.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
         hit = F.lit(False)
-        for i in picks:
-            _, _, offset = groups[i]
-            for rank in group_ranks[i]:
-                at = rank - offset
-                hit |= (
-                    (F.col("g") == i)
-                    & (F.col("before") <= F.lit(at))
-                    & (F.lit(at) < F.col("before") + F.col("n"))
-                )
+        for g, i in picks:
+            for rank in i.ranks:
+                at = F.lit(rank - i.before)
+                hit |= (F.col("g") == g) & (F.col("before") <= at) & (at < F.col("before") + F.col("n"))
         for row in ranked.filter(hit).collect():  # at most one row per wanted rank
-            name, _, offset = groups[row.g]
-            for rank in group_ranks[row.g]:
-                if row.before <= rank - offset < row.before + row.n:
-                    result[(name, rank)] = OrderStatistic(row.v, offset + row.before, row.n)
-    return result
+            i = batch[row.g]
+            for rank in i.ranks:
+                if row.before <= rank - i.before < row.before + row.n:
+                    found[(i.name, rank)] = OrderStatistic(row.v, i.before + row.before, row.n)
+    return found
 
 
 def quantiles(
     df: DataFrame,
     values: Mapping[str, Column | str] | Sequence[str],
     probs: Sequence[float],
-    small_rows: int = SMALL_ROWS,
+    bracket_rows: int = BRACKET_ROWS,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles, the definition of SQL ``quantile_cont``."""
     if not isinstance(values, Mapping):
@@ -163,7 +200,7 @@ def quantiles(
         name: sorted({r for h in hs if h is not None for r in (math.floor(h), math.ceil(h))})
         for name, hs in places.items()
     }
-    stats = order_statistics(df, columns, ranks, counts, small_rows)
+    stats = order_statistics(df, columns, ranks, counts, bracket_rows)
     out: dict[str, list[float | None]] = {}
     for name, hs in places.items():
         row: list[float | None] = []

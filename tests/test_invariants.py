@@ -39,15 +39,36 @@ def points(spark, sf_dir):
 COLUMNS = ["edad", "presion_arterial_sistolica"]
 
 
-@pytest.mark.parametrize("small_rows", [10, 1_000_000])
-def test_quantiles_are_exact_on_both_paths(skewed, small_rows):
+@pytest.mark.parametrize("bracket_rows", [10, 1_000_000])
+def test_quantiles_are_exact_on_both_paths(skewed, bracket_rows):
     probs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
-    got = quantiles.quantiles(skewed, ["x", "y"], probs, small_rows=small_rows)
+    got = quantiles.quantiles(skewed, ["x", "y"], probs, bracket_rows=bracket_rows)
     pdf = skewed.toPandas()
     for c in ("x", "y"):
         assert got[c] == pytest.approx(pdf[c].quantile(probs).tolist())
 
 
+def test_order_statistics_of_five_million_rows(spark):
+    """A permutation of 0 .. n-1 whose lower third is one hot value: every rank is known."""
+    n, hot = 5_000_000, 1_700_000
+    spot = F.pmod(F.col("id") * 2_654_435_761, F.lit(n))
+    df = spark.range(n).select(F.when(spot < hot, 7).otherwise(spot).cast("long").alias("v"), (-spot).cast("double").alias("w"))
+    values = {"v": F.col("v"), "w": F.col("w")}
+    ranks = {"v": [0, hot - 1, hot, 2_500_000, n - 1, n], "w": [0, 1, 4_999_000]}
+    got = quantiles.order_statistics(df, values, ranks)
+    assert {(k, (s.value, s.below, s.equal)) for k, s in got.items()} == {
+        (("v", 0), (7, 0, hot)), (("v", hot - 1), (7, 0, hot)), (("v", hot), (hot, hot, 1)),
+        (("v", 2_500_000), (2_500_000, 2_500_000, 1)), (("v", n - 1), (n - 1, n - 1, 1)),
+        (("w", 0), (1 - n, 0, 1)), (("w", 1), (2 - n, 1, 1)), (("w", 4_999_000), (-999, 4_999_000, 1)),
+    }
+
+
+def test_text_ranges_split_a_common_prefix(spark):
+    df = spark.range(20_000).select(F.format_string("https://example.org/a/long/path/%05d", "id").alias("w"))
+    spread = prefix.with_text_range(df, "w").groupBy("_range").count()
+    assert spread.count() > 200 and spread.agg(F.max("count")).first()[0] < 500
+
+
 def test_quantiles_of_nothing(spark):
     empty = spark.createDataFrame([(None,)], "x double")
     assert quantiles.quantiles(empty, ["x"], [0.5]) == {"x": [None]}
