@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.tails import chi2_tail, f_tail, normal_tail, t_tail
-from riskloom.operators.prefix import value_ranks, with_cut_range
+from riskloom.operators.prefix import sums_over_ranges, value_ranks, with_cut_range, with_range_in_groups
 from riskloom.operators.quantiles import clean_double, quantiles
 from riskloom.session import cut_lineage
 
+_SPEARMAN_BATCH = 16
 _PAIRS_PER_SCAN = 400
 
 
@@ -48,38 +49,68 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Complete pairs as (x, y, w): equal pairs are combined before any shuffle of single rows."""
-    pairs = df.select(clean_double(F.col(a)).alias("x"), clean_double(F.col(b)).alias("y"))
+def _pair_counts(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Complete pairs as (pair, x, y, w): equal pairs are combined before any shuffle of single rows."""
+    sides = F.array(
+        *[
+            F.struct(F.lit(n).alias("pair"), clean_double(F.col(a)).alias("x"), clean_double(F.col(b)).alias("y"))
+            for n, (a, b) in enumerate(pairs)
+        ]
+    )
     return (
-        pairs.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy("x", "y")
+        df.select(F.inline(sides))
+        .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+        .groupBy("pair", "x", "y")
         .agg(F.count("*").alias("w"))
     )
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row (a, b, rho, n): correlation of mid-ranks over complete pairs.
+    """One row (a, b, rho, n): correlation of mid-ranks over complete pairs."""
+    return _spearman_batch(df, [(a, b)])
+
+
+def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row (a, b, rho, n) per pair of columns; a batch of pairs shares every scan and shuffle."""
+    pairs = list(combinations(columns, 2))
+    batches = [pairs[n : n + _SPEARMAN_BATCH] for n in range(0, len(pairs), _SPEARMAN_BATCH)]
+    return reduce(DataFrame.unionByName, [_spearman_batch(df, batch) for batch in batches])
+
 
-    Ranks come from the distinct values of each side and are joined back by value; the rank side
-    has one row per value, so a hot value can be split by the adaptive skew join.
+def _spearman_batch(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Ranks come from the distinct values of each side of a pair and are joined back by value.
+
+    Each side is cut into ranges of its own, as columns differ in scale; the rank side of a join has one
+    row per value, so a hot value can be split by the adaptive skew join.
     """
-    counts = cut_lineage(_pair_counts(df, a, b))
-    centre = (F.col("n_total") + 1) / 2.0
-    rank_x = value_ranks(counts, "x", weight="w").select("x", (F.col("midrank") - centre).alias("rx"), "n_total")
-    rank_y = value_ranks(counts, "y", weight="w").select("y", (F.col("midrank") - centre).alias("ry"))
-    ranked = counts.join(rank_x, "x").join(rank_y, "y")
-    w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
-    return ranked.agg(
-        F.lit(a).alias("a"),
-        F.lit(b).alias("b"),
-        F.try_divide(F.sum(w * rx * ry), F.sqrt(F.sum(w * rx * rx) * F.sum(w * ry * ry))).alias("rho"),
-        F.coalesce(F.sum(w), F.lit(0)).alias("n"),
+    counts = cut_lineage(_pair_counts(df, pairs))
+    by = ["pair", "side"]
+    values = counts.select(
+        "pair",
+        "w",
+        F.inline(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("value")) for c in "xy"])),
     )
+    hist = cut_lineage(values.groupBy(*by, "value").agg(F.sum("w").alias("n")))
+    ranked = sums_over_ranges(with_range_in_groups(hist, "value", by), "value", ["n"], by)
+    ranked = ranked.withColumn("r", F.col("n_before") + (F.col("n") + 1) / 2.0 - (F.col("n_total") + 1) / 2.0)
 
+    def side(name: str) -> DataFrame:
+        return ranked.filter(F.col("side") == name).select("pair", F.col("value").alias(name), F.col("r").alias(f"r{name}"))
 
-def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [spearman(df, a, b) for a, b in combinations(columns, 2)])
+    w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
+    found = (
+        counts.join(side("x"), ["pair", "x"])
+        .join(side("y"), ["pair", "y"])
+        .groupBy("pair")
+        .agg(
+            F.try_divide(F.sum(w * rx * ry), F.sqrt(F.sum(w * rx * rx) * F.sum(w * ry * ry))).alias("rho"),
+            F.sum(w).alias("n"),
+        )
+    )
+    names = df.sparkSession.createDataFrame(
+        [(n, a, b) for n, (a, b) in enumerate(pairs)], "pair int, a string, b string"
+    )
+    return names.join(found, "pair", "left").select("a", "b", "rho", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _block_pairs(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
@@ -120,7 +151,7 @@ def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     one). Pairs in different ranges on both axes follow from the grid counts; pairs sharing an x
     range, or only a y range, are counted inside that range by merge counting.
     """
-    counts = cut_lineage(_pair_counts(df, a, b))  # read by every step below
+    counts = cut_lineage(_pair_counts(df, [(a, b)]).drop("pair"))  # read by every step below
     for axis in ("x", "y"):
         counts = with_cut_range(counts, axis).withColumnRenamed("_range", f"r{axis}")
     counts = cut_lineage(counts)

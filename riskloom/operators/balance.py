@@ -60,7 +60,7 @@ def under_sample(df: DataFrame, target: str, key: str, seed: int = 42) -> DataFr
     """Each class cut to the size of the smallest, keeping its first rows in hash order."""
     counts = class_counts(df, target)
     size = min(counts.values())
-    keep = first_rows(df, hash_order(key, seed), key, {v: [size] for v in counts}, target)
+    keep = first_rows(df, [hash_order(key, seed)], key, {v: [size] for v in counts}, target)[0]
     condition = F.lit(False)
     for c in keep.values():
         condition = condition | F.coalesce(c, F.lit(False))
@@ -75,7 +75,7 @@ def over_sample(df: DataFrame, target: str, key: str, seed: int = 42) -> DataFra
     counts = class_counts(df, target)
     size = max(counts.values())
     extra = {v: [size % n] for v, n in counts.items()}
-    more = first_rows(df, hash_order(key, seed), key, extra, target)
+    more = first_rows(df, [hash_order(key, seed)], key, extra, target)[0]
     copies = F.lit(1)
     for v, n in counts.items():
         test = F.col(target).isNull() if v is None else F.col(target) == F.lit(v)

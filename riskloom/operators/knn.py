@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.hashing import hash_order
+from riskloom.operators.prefix import has_whole_number, with_key_numbers
 from riskloom.session import cut_lineage, spread
 
 MAX_BOXES = 4_096  # bounds the box table sent to every task (boxes x 2 x dimensions numbers)
@@ -171,8 +172,18 @@ def knn_join(
 ) -> DataFrame:
     """(key, neighbour, d2, distance, position): the exact k nearest points of every query row.
 
-    Rows with a missing coordinate take no part. ``skip_self`` leaves out a query's own key.
+    Rows with a missing coordinate take no part. ``skip_self`` leaves out a query's own key. Keys that are no
+    whole numbers are numbered in text order for the search and come back as texts.
     """
+    if not (has_whole_number(queries, key) and has_whole_number(points, key)):
+        asked, stored = with_key_numbers([queries, points], key)
+        near = knn_join(asked, stored, "_code", columns, k, skip_self)
+        own = asked.select(F.col("_code").alias("key"), F.col(key).cast("string").alias("_own")).distinct()
+        other = stored.select(F.col("_code").alias("neighbour"), F.col(key).cast("string").alias("_other")).distinct()
+        named = near.join(own, "key").join(other, "neighbour")
+        return named.select(
+            F.col("_own").alias("key"), F.col("_other").alias("neighbour"), "d2", "distance", "position"
+        )
     dims = len(columns)
     donors = cut_lineage(_points(points, key, columns, k))
     n_points = donors.count()
@@ -268,6 +279,9 @@ def knn_impute(
     is searched on the present coordinates of the pattern: exact search per shared coordinate set.
     """
     donors = df if donors is None else donors
+    if not (has_whole_number(df, key) and has_whole_number(donors, key)):
+        coded, stored = with_key_numbers([df, donors], key)
+        return knn_impute(coded, "_code", columns, k, stored).drop("_code")
     present = {c: F.col(c).isNotNull() for c in columns}
     pattern = F.concat_ws("", *[F.when(present[c], "1").otherwise("0") for c in columns])
     patterns = sorted(r[0] for r in df.select(pattern).distinct().collect())
@@ -329,5 +343,6 @@ def knn_vote(
 ) -> DataFrame:
     """(key, probability): share of label 1 among the k nearest training rows."""
     near = knn_join(test, train, key, columns, k)
-    labels = train.select(F.col(key).cast("long").alias("neighbour"), F.col(label).cast("double").alias("y"))
+    own = "long" if has_whole_number(train, key) and has_whole_number(test, key) else "string"
+    labels = train.select(F.col(key).cast(own).alias("neighbour"), F.col(label).cast("double").alias("y"))
     return near.join(labels, "neighbour").groupBy("key").agg(F.avg("y").alias("probability"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.hashing import hash_order, hash_uniform
 from riskloom.operators.knn import knn_join
+from riskloom.operators.prefix import has_whole_number, with_key_numbers
 from riskloom.operators.split import class_counts, first_rows
 from riskloom.session import cut_lineage
 
@@ -34,7 +35,7 @@ def _copies(seeds: DataFrame, needed: int, seed: int, weight: str | None = None)
         n = seeds.count()
         if n == 0 or needed <= 0:
             return seeds.withColumn("copies", F.lit(0)).limit(0)
-        extra = first_rows(seeds, hash_order("key", seed), "key", {None: [needed % n]})[(None, needed % n)]
+        extra = first_rows(seeds, [hash_order("key", seed)], "key", {None: [needed % n]})[0][(None, needed % n)]
         return seeds.withColumn("copies", F.lit(needed // n) + F.when(extra, 1).otherwise(F.lit(0)))
     total = seeds.agg(F.sum(weight)).first()[0]
     if not total:
@@ -44,7 +45,7 @@ def _copies(seeds: DataFrame, needed: int, seed: int, weight: str | None = None)
     placed = cut_lineage(placed)
     missing = needed - (placed.agg(F.sum("copies")).first()[0] or 0)
     rows = placed.filter(F.col(weight) > 0)
-    extra = first_rows(rows, hash_order("key", seed), "key", {None: [missing]})[(None, missing)]
+    extra = first_rows(rows, [hash_order("key", seed)], "key", {None: [missing]})[0][(None, missing)]
     return rows.withColumn("copies", F.col("copies") + F.when(extra, 1).otherwise(F.lit(0)))
 
 
@@ -277,11 +278,19 @@ def balance(
     """Balanced table (key, columns, categories, target) by strategy name.
 
     No row is dropped for its gaps: rows with a missing number stay as they are and neither spawn nor meet
-    neighbours. Fill gaps first where they should take part.
+    neighbours. Fill gaps first where they should take part. Keys may be of any type; a synthetic row has a
+    negative number, among text keys as text.
     """
     from riskloom.operators.balance import over_sample, under_sample
 
     narrow = df.select(key, *columns, *categories, target)
+    if strategy not in ("none", "class_weight", "random_over", "random_under") and not has_whole_number(df, key):
+        (coded,) = with_key_numbers([narrow], key)
+        names = coded.select("_code", F.col(key).cast("string").alias(key))
+        grown = balance(coded.drop(key), strategy, target, "_code", columns, seed, categories)
+        return grown.join(names, "_code", "left").select(
+            F.coalesce(key, F.col("_code").cast("string")).alias(key), *columns, *categories, target
+        )
     if strategy in ("none", "class_weight"):
         return narrow
     if strategy in STRATEGIES:

@@ -61,6 +61,14 @@ def with_range(df: DataFrame, order: str, keep: Sequence[str] = ()) -> DataFrame
     return bounded.withColumn("_range", range_of(F.col(order), F.col("_cuts"), bits)).drop("_cuts")
 
 
+def with_range_in_groups(df: DataFrame, order: str, by: Sequence[str]) -> DataFrame:
+    """Like ``with_range`` with cuts of each group's own; for few groups, each one row of cuts."""
+    bits = range_bits(df)
+    cuts = df.groupBy(*by).agg(_quantile_cuts(order, bits).alias("_cuts"))
+    bounded = df.join(cuts, list(by))
+    return bounded.withColumn("_range", range_of(F.col(order), F.col("_cuts"), bits)).drop("_cuts")
+
+
 def with_cut_range(df: DataFrame, order: str) -> DataFrame:
     """Like ``with_range`` with 256 ranges, but a cut value is a range of its own (even numbers), so that a
     hot value never shares its range with others."""
@@ -159,11 +167,30 @@ def weighted_quantile(df: DataFrame, value: str, weight: str, prob: float) -> fl
     return None if row.low is None else row.low + (row.high - row.low) * row.part
 
 
-def text_codes(values: DataFrame, text: str) -> DataFrame:
-    """Distinct texts numbered 0.. in byte order, without one global sort task."""
+def text_numbers(values: DataFrame, text: str) -> DataFrame:
+    """Distinct texts numbered 0.. in byte order as (text, code long), without one global sort task."""
     distinct = cut_lineage(values.select(text).distinct().withColumn("n", F.lit(1).cast("long")))
     ranked = sums_over_ranges(with_text_range(distinct, text), text, ["n"])
-    return ranked.select(text, F.col("n_before").cast("int").alias("code"))
+    return ranked.select(text, F.col("n_before").alias("code"))
+
+
+def text_codes(values: DataFrame, text: str) -> DataFrame:
+    """``text_numbers`` as int codes."""
+    return text_numbers(values, text).withColumn("code", F.col("code").cast("int"))
+
+
+def has_whole_number(df: DataFrame, key: str) -> bool:
+    return dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+
+
+def with_key_numbers(frames: Sequence[DataFrame], key: str, number: str = "_code") -> list[DataFrame]:
+    """The frames with a long column that numbers their common keys of any type, in text order."""
+    texts = [f.select(F.col(key).cast("string").alias("_text")) for f in frames]
+    every = texts[0]
+    for t in texts[1:]:
+        every = every.unionByName(t)
+    codes = cut_lineage(text_numbers(every, "_text").withColumnRenamed("code", number))
+    return [f.join(codes, F.col(key).cast("string").eqNullSafe(codes["_text"])).drop("_text") for f in frames]
 
 
 def fill_from_neighbour(

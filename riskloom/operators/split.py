@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.hashing import hash_order
-from riskloom.operators.quantiles import order_statistics
+from riskloom.operators.prefix import has_whole_number
+from riskloom.operators.quantiles import OrderStatistic, order_statistics
+from riskloom.session import cut_lineage, drop_table
 
 MAX_CLASSES = 1_000
 
@@ -34,42 +36,55 @@ def _class_test(target: str | None, value: object) -> Column:
 
 
 def first_rows(
-    df: DataFrame, order: Column, key: str, sizes: dict[object, Sequence[int]], target: str | None = None
-) -> dict[tuple[object, int], Column]:
-    """Per class and size m: a condition that holds for exactly the first m rows in (order, key)."""
-    names = {value: f"c{i}" for i, value in enumerate(sizes)}
-    values = {names[v]: F.when(_class_test(target, v), order) for v in sizes}
-    ranks = {names[v]: sorted({m - 1 for m in ms if m > 0}) for v, ms in sizes.items()}
-    stats = order_statistics(df, values, ranks) if any(ranks.values()) else {}
-    conditions = {}
-    for v, ms in sizes.items():
-        inside = _class_test(target, v)
-        for m in ms:
-            if m <= 0:
-                conditions[(v, m)] = F.lit(False)
-                continue
-            stat = stats.get((names[v], m - 1))
-            if stat is None:  # more rows wanted than there are
-                conditions[(v, m)] = inside
-                continue
-            cut = F.lit(stat.value)
-            take = m - stat.below
-            if take == stat.equal:
-                conditions[(v, m)] = inside & (order <= cut)
-            else:  # equal order values: go on by key
-                tied = {"k": F.when(inside & (order == cut), F.col(key).cast("bigint"))}
-                last = order_statistics(df, tied, {"k": [take - 1]})[("k", take - 1)].value
-                conditions[(v, m)] = inside & (
-                    (order < cut) | ((order == cut) & (F.col(key).cast("bigint") <= F.lit(last)))
-                )
-    return conditions
+    df: DataFrame, orders: Sequence[Column], key: str, sizes: dict[object, Sequence[int]], target: str | None = None
+) -> list[dict[tuple[object, int], Column]]:
+    """For each order, per class and size m: a condition that holds for exactly the first m rows in (order, key)."""
+    classes = [(n, v) for n in range(len(orders)) for v in sizes]
+    names = {at: f"c{i}" for i, at in enumerate(classes)}
+    ranks = {names[n, v]: sorted({m - 1 for m in sizes[v] if m > 0}) for n, v in classes}
+    stats = {}
+    if any(ranks.values()):
+        # the orders (hashes, as a rule) are worked out once for all scans
+        kept = [F.col(target).alias("class")] if target is not None else []
+        once = cut_lineage(df.select(*[o.alias(f"o{n}") for n, o in enumerate(orders)], *kept))
+        inside = {v: _class_test(None if target is None else "class", v) for v in sizes}
+        stats = order_statistics(once, {names[n, v]: F.when(inside[v], F.col(f"o{n}")) for n, v in classes}, ranks)
+        drop_table(once)
+    return [
+        {
+            (v, m): _among_first(df, order, key, _class_test(target, v), m, stats.get((names[n, v], m - 1)))
+            for v, ms in sizes.items()
+            for m in ms
+        }
+        for n, order in enumerate(orders)
+    ]
+
+
+def _among_first(
+    df: DataFrame, order: Column, key: str, inside: Column, m: int, stat: OrderStatistic | None
+) -> Column:
+    if m <= 0:
+        return F.lit(False)
+    if stat is None:  # more rows wanted than there are
+        return inside
+    cut, take = F.lit(stat.value), m - stat.below
+    if take == stat.equal:
+        return inside & (order <= cut)
+    # equal order values: go on by key, a text key by its place among the tied ones
+    if has_whole_number(df, key):
+        tied = {"k": F.when(inside & (order == cut), F.col(key).cast("bigint"))}
+        last = order_statistics(df, tied, {"k": [take - 1]})[("k", take - 1)].value
+        return inside & ((order < cut) | ((order == cut) & (F.col(key).cast("bigint") <= F.lit(last))))
+    tied = df.filter(inside & (order == cut)).select(F.col(key).cast("string").alias("k"))
+    last = tied.orderBy("k").limit(take).agg(F.max("k")).first()[0]
+    return inside & ((order < cut) | ((order == cut) & (F.col(key).cast("string") <= F.lit(last))))
 
 
 def random_split(df: DataFrame, key: str, fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Column ``split``: exactly ceil(fraction * n) rows are test."""
     n = df.count()
     size = math.ceil(n * fraction - 1e-9)
-    test = first_rows(df, hash_order(key, seed), key, {None: [size]})[(None, size)]
+    test = first_rows(df, [hash_order(key, seed)], key, {None: [size]})[0][(None, size)]
     return df.withColumn("split", F.when(test, "test").otherwise("train"))
 
 
@@ -78,7 +93,7 @@ def temporal_split(df: DataFrame, ts: str, key: str, fraction: float = 0.2) -> D
     n = df.count()
     size = math.floor(n * fraction + 1e-9)
     moment = micros(ts)
-    train = first_rows(df, moment, key, {None: [n - size]})[(None, n - size)]
+    train = first_rows(df, [moment], key, {None: [n - size]})[0][(None, n - size)]
     return df.withColumn("split", F.when(train, "train").otherwise("test"))
 
 
@@ -94,7 +109,7 @@ def stratified_split(
     """Class shares kept: floor(fraction * n_c + 1/2) rows of each class are test."""
     counts = class_counts(df, target)
     sizes = {v: [math.floor(n * fraction + 0.5)] for v, n in counts.items()}
-    tests = first_rows(df, hash_order(key, seed), key, sizes, target)
+    tests = first_rows(df, [hash_order(key, seed)], key, sizes, target)[0]
     expr = F.lit(False)
     for condition in tests.values():
         expr = expr | F.coalesce(condition, F.lit(False))
@@ -121,10 +136,9 @@ def stratified_folds(
     Fold f of a class holds its rows between the hash ranks f*n/k and (f+1)*n/k.
     """
     counts = class_counts(df, target)
-    for r in range(repeats):
-        order = hash_order(key, f"{seed}-{r}")
-        sizes = {v: [math.ceil(n * f / k) for f in range(1, k)] for v, n in counts.items()}
-        before = first_rows(df, order, key, sizes, target)
+    sizes = {v: [math.ceil(n * f / k) for f in range(1, k)] for v, n in counts.items()}
+    orders = [hash_order(key, f"{seed}-{r}") for r in range(repeats)]
+    for r, before in enumerate(first_rows(df, orders, key, sizes, target)):
         fold = F.lit(0)
         for v in sizes:
             reached = sum(

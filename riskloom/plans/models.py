@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.hashing import hash_order
+from riskloom.operators.prefix import has_whole_number
 from riskloom.operators.profile import column_facts
 
 # Parameter grids of the catalogue
@@ -97,9 +98,9 @@ def feature_pipeline(
 
 
 def model_input(df: DataFrame, target: str, key: str, numeric: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:
-    """Typed narrow table for the pipelines: doubles, text with ``missing``, label."""
+    """Typed narrow table for the pipelines: key as long or text, doubles, text with ``missing``, label."""
     return df.filter(F.col(target).isNotNull()).select(
-        F.col(key).cast("long").alias(key),
+        F.col(key).cast("long" if has_whole_number(df, key) else "string").alias(key),
         *[F.col(c).cast("double").alias(c) for c in numeric],
         *[F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias(c) for c in categorical],
         F.col(target).cast("double").alias("label"),

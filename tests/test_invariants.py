@@ -222,7 +222,7 @@ def test_folds_are_even_and_complete(points):
 
 def test_split_ties_are_broken_by_key(spark):
     df = spark.createDataFrame([(i, 7) for i in range(50)], "id long, t int")
-    first = split.first_rows(df, F.col("t").cast("bigint"), "id", {None: [13]})[(None, 13)]
+    first = split.first_rows(df, [F.col("t").cast("bigint")], "id", {None: [13]})[0][(None, 13)]
     assert sorted(r.id for r in df.filter(first).collect()) == list(range(13))
 
 
@@ -290,3 +290,18 @@ def test_report_refuses_the_training_table(spark):
 def test_event_rate_interval_contains_the_rate(points):
     rates = evaluate.event_rate_interval(points, "mortality", "edad").collect()
     assert all(r.ci_low <= r.event_rate <= r.ci_high for r in rates)
+
+
+def test_text_keys_stay_apart(spark):
+    rows = [(f"A{i:02d}", float(i), float(i % 3), int(i % 4 == 0)) for i in range(24)] + [("7", 40.0, 1.0, 0), ("007", 41.0, 1.0, 0)]
+    df = spark.createDataFrame(rows, "id string, x double, y double, label int")
+    near = {r.key: r.neighbour for r in knn.knn_join(df, df, "id", ["x"], 1, skip_self=True).collect()}
+    assert len(near) == 26 and near["7"] == "007" and near["A01"] == "A00"
+    grown = oversample.balance(df, "smote", "label", "id", ["x", "y"])
+    real = {r.id for r in grown.collect() if not r.id.startswith("-")}
+    assert real == {r[0] for r in rows} and grown.filter("label = 1").count() == grown.filter("label = 0").count()
+    gaps = df.withColumn("x", F.when(F.col("id") == "007", None).otherwise(F.col("x")))
+    filled = knn.knn_impute(gaps, "id", ["x", "y"], 1)
+    assert filled.columns == df.columns and filled.filter("x IS NULL").count() == 0
+    first = split.first_rows(df, [F.lit(1).cast("bigint")], "id", {None: [2]})[0][(None, 2)]
+    assert {r.id for r in df.filter(first).collect()} == {"007", "7"}
