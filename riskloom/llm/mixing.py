@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.session import cut_lineage
+
 TERMS = 20  # a draw has a mean of at most 1; more than 20 events then have a chance below 1e-19
 _SPACE = float(1 << 52)
 
@@ -50,7 +52,8 @@ def replicate(docs: DataFrame, repetition: DataFrame, seed: int = 11) -> DataFra
     """
     names = [c for c in docs.columns if c not in ("replica", "shuffle_key")]
     parts = F.greatest(F.ceil("rate"), F.lit(1)).cast("int")
-    tables = (
+    # Written first: the planner then knows its size and joins a small one without moving texts by source.
+    tables = cut_lineage(
         repetition.withColumn("_parts", parts)
         .withColumn("_mean", F.col("rate") / F.col("_parts"))
         .withColumn("_terms", F.transform(F.sequence(F.lit(0), F.lit(TERMS)), lambda k: F.exp(-F.col("_mean")) * F.pow(F.col("_mean"), k) / F.factorial(k)))
