@@ -140,35 +140,52 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
     return pairs if distance <= 2 else pairs.distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """``doc_id, fp, root, component_id`` for every row: components over fingerprints at most ``distance`` bits apart.
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(text, text.isNull())
 
-    component_id is the smallest non-null doc_id of the component (null if it has none). Equal fingerprints are one
-    node, so copies add no links; a null or empty text has fingerprint 0 and is linked like any other.
-    """
-    rows = cut_lineage(docs.select("doc_id", fingerprint(shingle)(F.col("text")).alias("fp")))
+
+def _classes(docs: DataFrame, shingle: int, distance: int) -> DataFrame:
+    """``doc_id, text_hash, fp, root, component_id`` for every row; texts are read and fingerprinted once."""
+    rows = cut_lineage(docs.select(
+        "doc_id", _text_hash(F.col("text")).alias("text_hash"), fingerprint(shingle)(F.col("text")).alias("fp")
+    ))
     prints = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(prints.select("fp"), distance))
     named = cut_lineage(
         prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     )
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(ids, "root").select("fp", "root", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "root", "component_id")
+    return rows.join(named.join(ids, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
+    """``doc_id, fp, root, component_id`` for every row: components over fingerprints at most ``distance`` bits apart.
+
+    component_id is the smallest non-null doc_id of the component (null if it has none). Equal fingerprints are one
+    node, so copies add no links; a null or empty text has fingerprint 0 and is linked like any other.
+    """
+    return _classes(docs, shingle, distance).select("doc_id", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their component, one row each; all input columns stay.
 
-    Of rows that share doc_id and fingerprint, the first by text stays.
+    Of rows that share this doc_id, the smallest fingerprint and text hash decide; of rows alike in doc_id and text,
+    the first by their other plain columns stays.
     """
-    names = docs.columns
-    found = near_duplicates(docs, shingle, distance)
+
+    def key(doc_id: Column) -> Column:  # never null, and a null id meets no other
+        return F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit(""))
+
     winners = (
-        found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("root").agg(F.min("fp").alias("_fp"), F.min("component_id").alias("_id")).drop("root")
+        _classes(docs, shingle, distance)
+        .filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("root").agg(F.min(F.struct("fp", "text_hash")).alias("w"), F.min("component_id").alias("id"))
+        .select(key(F.col("id")).alias("_id"), F.col("w.text_hash").alias("_hash"))
     )
-    marked = docs.withColumn("_fp0", fingerprint(shingle)(F.col("text")))
-    met = marked.join(winners, marked["doc_id"].eqNullSafe(winners["_id"]) & (marked["_fp0"] == winners["_fp"]))
-    first = Window.partitionBy("_id", "_fp").orderBy("text")
-    return met.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select(*names)
+    plain = [f.name for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    # Join and window share one partitioning, so whole texts move once.
+    marked = docs.withColumns({"_id": key(F.col("doc_id")), "_hash": _text_hash(F.col("text"))})
+    first = Window.partitionBy("_id", "_hash").orderBy(*plain)
+    met = marked.join(winners, ["_id", "_hash"]).withColumn("_nth", F.row_number().over(first))
+    return met.filter("_nth = 1").select(*docs.columns)
