@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, contain, langid, lines, mixing, repeats, secrets, shards, simhash, topk
+from riskloom.llm import chat, contain, importance, langid, lines, mixing, repeats, secrets, shards, simhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,3 +104,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op11_importance_resampling", importance.importance_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = importance.weigh(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return importance.rank(scored.drop("text")).select("doc_id", "n_features", "weight", "score", "rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,3 +26,14 @@ def with_defaults(docs: DataFrame, **kinds: str) -> DataFrame:
         if name not in docs.columns:
             docs = docs.withColumn(name, F.lit(None).cast(kind))
     return docs
+
+
+def unused(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted column names, with underscores before those that a table already has (in any case)."""
+    held, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
