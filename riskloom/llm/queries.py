@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, contain, importance, langid, lines, mixing, repeats, secrets, shards, simhash, topk
+from riskloom.llm import chat, contain, importance, langid, lines, mixing, negatives, repeats, secrets, shards, simhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,3 +110,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = importance.weigh(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return importance.rank(scored.drop("text")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_tree_hard_negatives", negatives.negatives_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.quantised(table(spark, sf_dir, "embeddings").withColumn("label", moved)))
