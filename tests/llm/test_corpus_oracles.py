@@ -11,5 +11,5 @@ def test_agrees(spark, sf_dir, name):
     assert compare(QUERIES[name](spark, sf_dir), ORACLES[name], duck(sf_dir)) is None
 
 
-def test_ten_operators():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+def test_thirteen_operators():
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
