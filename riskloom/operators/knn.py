@@ -269,75 +269,6 @@ def knn_join(
     return _finished(best)
 
 
-def knn_impute(
-    df: DataFrame, key: str, columns: Sequence[str], k: int = 5, donors: DataFrame | None = None
-) -> DataFrame:
-    """Fill each missing cell with the mean of the k nearest donors that have the value.
-
-    Distance over the coordinates both rows have, scaled up by (all / shared) coordinates. Rows are
-    grouped by which coordinates they miss (at most 2^p - 1 patterns for p columns), and a donor row
-    is searched on the present coordinates of the pattern: exact search per shared coordinate set.
-    """
-    donors = df if donors is None else donors
-    if not (has_whole_number(df, key) and has_whole_number(donors, key)):
-        coded, stored = with_key_numbers([df, donors], key)
-        return knn_impute(coded, "_code", columns, k, stored).drop("_code")
-    present = {c: F.col(c).isNotNull() for c in columns}
-    pattern = F.concat_ws("", *[F.when(present[c], "1").otherwise("0") for c in columns])
-    patterns = sorted(r[0] for r in df.select(pattern).distinct().collect())
-    donor_patterns = sorted(r[0] for r in donors.select(pattern).distinct().collect())
-    found: list[DataFrame] = []
-    for mine in patterns:
-        for at, flag in enumerate(mine):
-            if flag == "1":
-                continue
-            target, candidates = columns[at], []
-            sets: dict[tuple[str, ...], list[str]] = {}
-            for theirs in donor_patterns:
-                both = tuple(c for c, a, b in zip(columns, mine, theirs) if a == b == "1")
-                if theirs[at] == "1" and both:
-                    sets.setdefault(both, []).append(theirs)
-            for shared, same in sets.items():
-                near = knn_join(
-                    df.filter(pattern == mine), donors.filter(pattern.isin(same)), key, shared, k
-                )
-                scale = len(columns) / len(shared)
-                candidates.append(
-                    near.select(
-                        "key", "neighbour", (F.col("d2") * F.lit(scale)).alias("d2")
-                    )
-                )
-            if not candidates:
-                continue
-            merged = candidates[0]
-            for other in candidates[1:]:
-                merged = merged.unionByName(other)
-            best = _merge_top(merged, k)
-            values = donors.select(F.col(key).cast("long").alias("neighbour"), F.col(target).alias("v"))
-            found.append(
-                best.join(values, "neighbour").groupBy("key").agg(F.avg("v").alias("fill"))
-                .select("key", F.lit(target).alias("variable"), "fill")
-            )
-    if found:
-        fills = found[0]
-        for f in found[1:]:
-            fills = fills.unionByName(f)
-        wide = fills.groupBy("key").agg(
-            *[F.max(F.when(F.col("variable") == c, F.col("fill"))).alias(f"_fill_{c}") for c in columns]
-        )
-        df = df.join(wide, df[key].cast("long") == wide["key"], "left").drop("key")
-    else:
-        df = df.withColumns({f"_fill_{c}": F.lit(None).cast("double") for c in columns})
-    # a row without any shared coordinate gets the column mean
-    means = donors.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict()
-    return df.withColumns(
-        {
-            c: F.coalesce(F.col(c).cast("double"), F.col(f"_fill_{c}"), F.lit(means[c]))
-            for c in columns
-        }
-    ).drop(*[f"_fill_{c}" for c in columns])
-
-
 def knn_vote(
     train: DataFrame, test: DataFrame, key: str, columns: Sequence[str], label: str, k: int = 5
 ) -> DataFrame:

@@ -107,7 +107,7 @@ def _fill(model: CleaningModel, df: DataFrame) -> DataFrame:
         if columns:
             df = impute.fill_ordered(df, columns, model.key, backward=direction == "backward")
     if model.knn_columns:
-        from riskloom.operators.knn import knn_impute
+        from riskloom.operators.masked import knn_impute
 
         df = knn_impute(
             df, model.key, model.knn_columns, model.config.knn_neighbors, donors=model.donors

@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import OneHotEncoderModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from riskloom.operators.evaluate import rank_measures, ranked_scores
 from riskloom.operators.prefix import running_sums
 from riskloom.operators.quantiles import quantiles
 from riskloom.plans.models import with_score
+from riskloom.plans.trees import ensemble_of, tree_attributions
 from riskloom.session import cut_lineage
 
 
@@ -143,23 +143,26 @@ def top_attributions(attributions: DataFrame, key: str, top: int = 10) -> DataFr
 def model_importance(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
     """Tree importances or absolute coefficients of the last stage per source column, largest first.
 
-    ``features``: the numeric columns, then the categorical ones. A category's levels are summed.
+    A category's levels are summed; a column that the preprocessing dropped has none.
     """
     last = model.stages[-1]
     values = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
-    widths: list[int] = []
-    for stage in model.stages:
-        if isinstance(stage, OneHotEncoderModel):
-            keep = 1 if stage.getHandleInvalid() == "keep" else 0
-            widths = [int(n) + keep - (1 if stage.getDropLast() else 0) for n in stage.categorySizes]
-    parts = [1] * (len(values) - sum(widths)) + widths
-    if len(parts) != len(features):
-        raise ValueError(f"the model has {len(parts)} source columns, {len(features)} names were given")
-    numbers, rows, at = values.toArray(), [], 0
-    for name, width in zip(features, parts, strict=True):
-        rows.append((name, float(abs(numbers[at : at + width]).sum())))
-        at += width
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    found = dict.fromkeys(features, 0.0)
+    for slot, value in zip(model.stages[0].slots(), values.toArray(), strict=True):
+        if slot not in found:
+            raise ValueError(f"the model has the source column {slot!r}, which is not named")
+        found[slot] += abs(float(value))
+    return spark.createDataFrame(list(found.items()), "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+def model_attributions(model: PipelineModel, df: DataFrame, key: str) -> tuple[DataFrame, float]:
+    """((key, feature, attribution), base) of a fitted tree pipeline; base + a row's attributions is its score.
+
+    The score is a probability for a tree or a forest and a margin for boosted trees.
+    """
+    ensemble = ensemble_of(model.stages[-1], df.sparkSession)
+    vectors = model.stages[0].transform(df)
+    return tree_attributions(vectors, ensemble, model.stages[0].slots(), key), ensemble.base()
 
 
 def sensitivity_sweep(

@@ -1,11 +1,11 @@
-"""Feature pipelines and the model catalogue on Spark ML."""
+"""The model catalogue on Spark ML and this package's own estimators."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -13,54 +13,84 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import (
-    Imputer,
-    OneHotEncoder,
-    StandardScaler,
-    StringIndexer,
-    VectorAssembler,
-)
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.hashing import hash_order
 from riskloom.operators.prefix import has_whole_number
-from riskloom.operators.profile import column_facts
+from riskloom.plans.boosting import BoostedTrees
+from riskloom.plans.stages import CalibratedLogistic, NeighbourClassifier
 
-# Parameter grids of the catalogue
+# Parameter grids of the catalogue (a depth of 30 is Spark's greatest, 0 or -1 is no bound)
 GRIDS = {
+    "knn": {"k": [3, 5, 7, 11], "weights": ["uniform", "distance"]},
+    "logreg_calibrated": {"c": [0.01, 0.1, 1.0, 10.0]},
+    "dtree_balanced": {"maxDepth": [3, 5, 7, 30], "minInstancesPerNode": [1, 5, 10]},
+    "rf_balanced": {
+        "numTrees": [100, 200, 300], "maxDepth": [5, 10, 15, 30], "minInstancesPerNode": [2, 5, 10],
+        "featureSubsetStrategy": ["sqrt", "log2"],
+    },
+    "xgb": {"maxDepth": [3, 5, 7], "minChildWeight": [1.0, 3.0, 5.0], "gamma": [0.0, 0.1, 0.5]},
+    "xgb_balanced": {
+        "maxDepth": [3, 4, 5], "minChildWeight": [3.0, 5.0, 7.0], "gamma": [0.1, 0.5, 1.0],
+        "scalePosWeight": [8.0, 10.0, 10.3, 12.0, 15.0], "regAlpha": [0.0, 0.1, 1.0], "regLambda": [1.0, 1.5, 2.0],
+    },
+    "lgbm": {"maxLeaves": [31, 63, 127], "maxDepth": [-1, 6, 10]},
+}
+# Grids of the entries without a counterpart
+GRIDS |= {
     "logreg": {"regParam": [0.001, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]},
     "dtree": {"maxDepth": [3, 5, 10], "minInstancesPerNode": [1, 5, 10]},
     "rf": {"numTrees": [20, 50, 100], "maxDepth": [5, 10], "minInstancesPerNode": [1, 5]},
     "gbt": {"maxIter": [20, 50], "maxDepth": [3, 5], "stepSize": [0.05, 0.1]},
+    "mlp": {"hidden": [[8], [16], [16, 8]], "stepSize": [0.03, 0.1]},
+}
+GRIDS["gbt_balanced"] = GRIDS["gbt"]
+
+# Settings of the boosted entries (row sampling of lgbm is off there, as no frequency is set)
+BOOSTED = {
+    "xgb": {"maxIter": 200, "stepSize": 0.05, "subsample": 0.9, "colsample": 0.9, "maxDepth": 6},
+    "xgb_balanced": {"maxIter": 200, "stepSize": 0.05, "subsample": 0.8, "colsample": 0.8, "maxDepth": 6},
+    "lgbm": {
+        "maxIter": 400, "stepSize": 0.03, "colsample": 0.9, "balanced": True, "maxLeaves": 31, "maxDepth": -1,
+        "minRows": 20, "minChildWeight": 0.001, "regLambda": 0.0,
+    },
 }
 
 
-def classifier(name: str, n_features: int = 0, seed: int = 42, **params) -> Estimator:
-    """Catalogue entry by name; boosted-tree variants share one learner, ``*_balanced`` ones use weights."""
+def classifier(name: str, seed: int = 42, key: str = "key", **params) -> Estimator:
+    """Catalogue entry by name; class weights of the ``*_balanced`` learners are the caller's (see ``default_balancing``)."""
     common = {"featuresCol": "features", "labelCol": "label"}
-    if name == "logreg":
+    if name in BOOSTED:
+        return BoostedTrees(**common, seed=seed, **(BOOSTED[name] | params))
+    if name == "knn":
+        return NeighbourClassifier(**common, keyCol=key, **params)
+    if name == "logreg_calibrated":
+        return CalibratedLogistic(**common, seed=seed, **params)
+    kind = name.removesuffix("_balanced")
+    if kind == "logreg":
         return LogisticRegression(**common, **({"maxIter": 50, "regParam": 0.01} | params))
-    if name == "dtree":
+    if kind == "dtree":
         return DecisionTreeClassifier(**common, seed=seed, **({"maxDepth": 5} | params))
-    if name == "rf":
+    if kind == "rf":
         return RandomForestClassifier(**common, seed=seed, **({"numTrees": 20, "maxDepth": 5} | params))
-    if name in ("gbt", "gbt_balanced"):
-        weights = {"weightCol": "weight"} if name == "gbt_balanced" else {}
-        return GBTClassifier(**common, **weights, seed=seed, **({"maxIter": 10, "maxDepth": 3} | params))
+    if kind == "gbt":
+        return GBTClassifier(**common, seed=seed, **({"maxIter": 10, "maxDepth": 3} | params))
     if name == "mlp":
-        hidden = params.pop("hidden", [8])
-        return MultilayerPerceptronClassifier(
-            **common, seed=seed, layers=[n_features, *hidden, 2], **({"maxIter": 50} | params)
-        )
-    if name == "linreg":
-        return LinearRegression(**common, **params)
+        hidden = params.pop("hidden", [8])  # the first layer takes the width of the encoded features when it is fitted
+        return MultilayerPerceptronClassifier(**common, seed=seed, layers=[1, *hidden, 2], **({"maxIter": 50} | params))
     raise ValueError(f"unknown model {name!r}")
 
 
+def default_balancing(name: str) -> str:
+    """Learners that only differ in their class weights."""
+    return "class_weight" if name in ("logreg_balanced", "dtree_balanced", "rf_balanced", "gbt_balanced") else "none"
+
+
 def parameter_grid(name: str) -> list[dict[str, object]]:
+    if name not in GRIDS:
+        raise ValueError(f"no grid for {name!r}")
     grid = GRIDS[name]
     return [dict(zip(grid, values)) for values in product(*grid.values())]
 
@@ -73,30 +103,6 @@ def sampled_grid(name: str, draws: int, seed: int = 42) -> list[dict[str, object
     return random.Random(seed).sample(points, min(draws, len(points)))
 
 
-def feature_pipeline(
-    numeric: Sequence[str], categorical: Sequence[str] = (), strategy: str = "median", scale: bool = True
-) -> Pipeline:
-    """Numbers: fill and standardise; categories: ``missing`` as a level, one-hot, unseen levels zero."""
-    stages: list = []
-    filled = [f"{c}_filled" for c in numeric]
-    if numeric:
-        stages.append(Imputer(inputCols=list(numeric), outputCols=filled, strategy=strategy))
-    hot = [f"{c}_hot" for c in categorical]
-    if categorical:
-        index = [f"{c}_index" for c in categorical]
-        stages.append(StringIndexer(inputCols=list(categorical), outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCols=index, outputCols=hot, handleInvalid="keep", dropLast=True))
-    numbers = "features" if not categorical and not scale else "numbers"
-    stages.append(VectorAssembler(inputCols=filled, outputCol=numbers, handleInvalid="error"))
-    last = numbers
-    if scale:
-        last = "scaled" if categorical else "features"
-        stages.append(StandardScaler(inputCol=numbers, outputCol=last, withMean=True, withStd=True))
-    if categorical:
-        stages.append(VectorAssembler(inputCols=[last, *hot], outputCol="features"))
-    return Pipeline(stages=stages)
-
-
 def model_input(df: DataFrame, target: str, key: str, numeric: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:
     """Typed narrow table for the pipelines: key as long or text, doubles, text with ``missing``, label."""
     return df.filter(F.col(target).isNotNull()).select(
@@ -107,15 +113,6 @@ def model_input(df: DataFrame, target: str, key: str, numeric: Sequence[str], ca
     )
 
 
-def usable_columns(df: DataFrame, columns: Sequence[str], constant_threshold: float = 1.0) -> list[str]:
-    """Columns with values that are not all the same."""
-    return [
-        f.name
-        for f in column_facts(df, columns)
-        if f.n_present > 0 and (f.majority_share or 0.0) < constant_threshold
-    ]
-
-
 def with_score(df: DataFrame, column: str = "score") -> DataFrame:
     return df.withColumn(column, vector_to_array("probability")[1])
 

@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.balance import class_weights
 from riskloom.operators.impute import fit_fills
-from riskloom.operators.knn import knn_impute, knn_join
+from riskloom.operators.knn import knn_join
+from riskloom.operators.masked import knn_impute
 from riskloom.operators.oversample import balance
 from riskloom.operators.profile import column_facts
 from riskloom.plans.boosting import BoostedTrees, BoostedTreesModel

@@ -6,32 +6,32 @@ predictions of one call are measured together by exact rank statistics.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.balance import class_weights
 from riskloom.operators.compare import pairwise_model_tests
 from riskloom.operators.evaluate import rank_measures, ranked_scores, threshold_metrics
 from riskloom.operators.split import stratified_folds
 from riskloom.plans.models import (
     classifier,
-    feature_pipeline,
+    default_balancing,
     hashed_share,
     model_input,
+    parameter_grid,
     predict,
     sampled_grid,
     with_score,
 )
+from riskloom.plans.search import FOREST_SPACE, ParzenSearch
+from riskloom.plans.stages import Balanced, Preprocessor
 from riskloom.session import cut_lineage
 
 PARALLEL_FITS = 4
@@ -48,29 +48,31 @@ class ModelSpec:
     balancing: str = "none"
     scale: bool = True
     label: str | None = None
+    imputer: str = "simple"
+    selection: bool = False
 
     @property
     def title(self) -> str:
         return self.label or self.name
 
 
+def preprocessor(spec: ModelSpec, key: str, seed: int = 42) -> Preprocessor:
+    return Preprocessor(
+        numeric=list(spec.numeric), categorical=list(spec.categorical), keyCol=key, scale=spec.scale,
+        imputer=spec.imputer, selection=spec.selection, seed=seed,
+    )
+
+
+def balanced(spec: ModelSpec, key: str, seed: int = 42, **params) -> Balanced:
+    """The spec's learner (parameters may be overridden), fitted on rows balanced after preprocessing."""
+    strategy = spec.balancing if spec.balancing != "none" else default_balancing(spec.name)
+    learner = classifier(spec.name, seed, key, **(dict(spec.params) | params))
+    return Balanced(learner, strategy=strategy, keyCol=key, seed=seed)
+
+
 def fit_model(train: DataFrame, spec: ModelSpec, key: str, seed: int = 42) -> PipelineModel:
-    """Fit preprocessing and model on training rows only; balancing touches nothing else."""
-    if spec.balancing == "class_weight" or spec.name.endswith("_balanced"):
-        train = train.join(class_weights(train, "label").drop("n"), "label")
-    elif spec.balancing != "none":
-        from riskloom.operators.impute import apply_fills, fit_fills
-        from riskloom.operators.oversample import balance
-
-        # Gaps are filled first, by the training part's own medians, so that every row takes part.
-        numeric = list(spec.numeric)
-        filled = apply_fills(train, fit_fills(train, {c: "median" for c in numeric}))
-        train = cut_lineage(balance(filled, spec.balancing, "label", key, numeric, seed, list(spec.categorical)))
-    width = len(spec.numeric)
-    weighted = {"weightCol": "weight"} if spec.balancing == "class_weight" else {}
-    estimator = classifier(spec.name, width, seed, **spec.params, **weighted)
-    pipeline = feature_pipeline(spec.numeric, spec.categorical, scale=spec.scale)
-    return Pipeline(stages=[*pipeline.getStages(), estimator]).fit(train)
+    """Preprocess, balance, fit: all of it learns from the training rows only, and new rows are never resampled."""
+    return Pipeline(stages=[preprocessor(spec, key, seed), balanced(spec, key, seed)]).fit(train)
 
 
 def _run_all(jobs: Sequence[Callable[[], DataFrame]], threads: int = PARALLEL_FITS) -> list[DataFrame]:
@@ -148,32 +150,91 @@ def nested_cross_validate(
     )
 
 
+def candidate_scores(
+    folded: DataFrame, spec: ModelSpec, key: str, points: Sequence[dict], folds: Sequence[int], seed: int = 42
+) -> DataFrame:
+    """(model, run, auroc): every point on the given values of ``fold_0``; ``model`` is the place of the point.
+
+    A fold is preprocessed and balanced once for all points, with the spec's own parameters and balancing.
+    """
+    jobs = []
+    for f in folds:
+        train, held = folded.filter(F.col("fold_0") != f), folded.filter(F.col("fold_0") == f)
+        ready = preprocessor(spec, key, seed).fit(train)
+        plain = balanced(spec, key, seed)
+        rows = cut_lineage(plain.resampled(ready.transform(train).select(key, "label", "features")))
+        seen = cut_lineage(ready.transform(held).select(key, "label", "features"))
+        kind = "class_weight" if plain.getOrDefault("strategy") == "class_weight" else "none"
+
+        def job(i: int, point: dict, f: int = f, rows: DataFrame = rows, seen: DataFrame = seen, kind: str = kind) -> DataFrame:
+            learner = balanced(spec, key, seed, **point)
+            model = learner.copy({learner.strategy: kind}).fit(rows)
+            return with_score(model.transform(seen)).select(
+                F.lit(str(i)).alias("model"), F.lit(f).alias("run"), F.lit("validation").alias("part"), "label", "score"
+            )
+
+        jobs += [(lambda i=i, p=p, job=job: job(i, p)) for i, p in enumerate(points)]
+    scored = cut_lineage(reduce(DataFrame.unionByName, _run_all(jobs)))
+    return run_scores(scored).select(F.col("model").cast("int").alias("model"), "run", "auroc")
+
+
+def shown(point: dict) -> str:
+    return ", ".join(f"{n}={v}" for n, v in sorted(point.items()))
+
+
 def random_search(
     df: DataFrame, spec: ModelSpec, key: str, draws: int = 10, k: int = 3, seed: int = 42,
     points: Sequence[dict] | None = None,
 ) -> tuple[PipelineModel, DataFrame]:
-    """Best model over sampled grid points (or the given points), refitted, and the (params, auroc) table."""
+    """Best model over sampled grid points (or the given points), refitted, and the (params, auroc) table.
+
+    Points override the spec's parameters; its other parameters and its balancing hold for every candidate.
+    """
     points = list(points or sampled_grid(spec.name, draws, seed))
     folded = with_folds(df, key, k, 1, seed)
-    estimator = classifier(spec.name, len(spec.numeric), seed)
-    stages = feature_pipeline(spec.numeric, spec.categorical, scale=spec.scale).getStages()
-    grid = []
-    for point in points:
-        builder = ParamGridBuilder()
-        for name, value in point.items():
-            builder = builder.addGrid(estimator.getParam(name), [value])
-        grid += builder.build()
-    search = CrossValidator(
-        estimator=Pipeline(stages=[*stages, estimator]), estimatorParamMaps=grid,
-        evaluator=BinaryClassificationEvaluator(labelCol="label", numBins=0),
-        foldCol="fold_0", numFolds=k, parallelism=PARALLEL_FITS, seed=seed,
-    )
-    fitted = search.fit(folded)
-    rows = [
-        (", ".join(f"{n}={v}" for n, v in sorted(p.items())), float(a))
-        for p, a in zip(points, fitted.avgMetrics)
-    ]
-    return fitted.bestModel, df.sparkSession.createDataFrame(rows, "params string, auroc double")
+    scores = candidate_scores(folded, spec, key, points, range(k), seed)
+    means = {r["model"]: r["auroc"] for r in scores.groupBy("model").agg(F.avg("auroc").alias("auroc")).collect()}
+    best = min(range(len(points)), key=lambda i: (-(means.get(i) or 0.0), i))
+    model = fit_model(df, replace(spec, params=dict(spec.params) | points[best]), key, seed)
+    rows = [(shown(p), float(means.get(i) or 0.0)) for i, p in enumerate(points)]
+    return model, df.sparkSession.createDataFrame(rows, "params string, auroc double")
+
+
+def grid_search(df: DataFrame, spec: ModelSpec, key: str, k: int = 3, seed: int = 42) -> tuple[PipelineModel, DataFrame]:
+    """``random_search`` over every point of the entry's grid."""
+    return random_search(df, spec, key, k=k, seed=seed, points=parameter_grid(spec.name))
+
+
+def density_ratio_search(
+    df: DataFrame, spec: ModelSpec, key: str, trials: int = 50, k: int = 5, seed: int = 42,
+    space: Mapping[str, Sequence] | None = None,
+) -> tuple[PipelineModel, DataFrame]:
+    """Model search by density ratios with median stops (see ``search.ParzenSearch``) over ``space``.
+
+    Returns the refitted best model and the history (trial, params, folds, auroc, stopped). A trial is measured fold by
+    fold and is stopped when its running mean falls below the median of earlier trials at the same fold. The space's
+    ``balancing`` values choose the balancing; other names are parameters of the learner.
+    """
+    search = ParzenSearch(FOREST_SPACE if space is None else space, seed)
+    folded = with_folds(df, key, k, 1, seed)
+    history = []
+    for trial in range(trials):
+        point = search.propose()
+        chosen = candidate(spec, point)
+        found: list[float] = []
+        for f in range(k):
+            found.append(candidate_scores(folded, chosen, key, [{}], [f], seed).first()["auroc"] or 0.0)
+            if f + 1 < k and search.stops(found):
+                break
+        search.record(point, found)
+        history.append((trial, shown(point), len(found), sum(found) / len(found), len(found) < k))
+    model = fit_model(df, candidate(spec, search.best(k)), key, seed)
+    return model, df.sparkSession.createDataFrame(history, "trial int, params string, folds int, auroc double, stopped boolean")
+
+
+def candidate(spec: ModelSpec, point: dict) -> ModelSpec:
+    params = {n: v for n, v in point.items() if n != "balancing"}
+    return replace(spec, params=dict(spec.params) | params, balancing=point.get("balancing", spec.balancing))
 
 
 def halving_search(
@@ -352,14 +413,18 @@ def prefix_sweep(
     )
 
 
-def importance_selection(df: DataFrame, features: Sequence[str], key: str, seed: int = 42) -> DataFrame:
-    """(feature, importance, kept): forest importance at least the median importance."""
-    model = fit_model(df, ModelSpec("rf", list(features), scale=False), key, seed)
-    importances = model.stages[-1].featureImportances.toArray()
-    ordered = sorted(importances)
+def importance_selection(
+    df: DataFrame, features: Sequence[str], key: str, seed: int = 42, categorical: Sequence[str] = ()
+) -> DataFrame:
+    """(feature, importance, kept): forest importance at least the median; a category's levels are summed."""
+    model = fit_model(df, ModelSpec("rf", list(features), list(categorical), scale=False), key, seed)
+    found = dict.fromkeys([*features, *categorical], 0.0)  # dropped columns have none
+    for slot, value in zip(model.stages[0].slots(), model.stages[-1].featureImportances.toArray(), strict=True):
+        found[slot] += float(value)
+    ordered = sorted(found.values())
     middle = len(ordered) // 2
     median = ordered[middle] if len(ordered) % 2 else (ordered[middle - 1] + ordered[middle]) / 2
-    rows = [(f, float(v), bool(v >= median)) for f, v in zip(features, importances, strict=True)]
+    rows = [(f, v, bool(v >= median)) for f, v in found.items()]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double, kept boolean")
 
 

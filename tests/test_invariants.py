@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions.hashing import hash_order
-from riskloom.operators import association, components, compare, evaluate, knn, local_outliers
+from riskloom.operators import association, components, compare, evaluate, knn, masked, local_outliers
 from riskloom.operators import balance, oversample, prefix, quantiles, resample, split
 from riskloom.plans import anomaly, models, training
 from riskloom.plans.cohort import cohort
@@ -301,7 +301,7 @@ def test_text_keys_stay_apart(spark):
     real = {r.id for r in grown.collect() if not r.id.startswith("-")}
     assert real == {r[0] for r in rows} and grown.filter("label = 1").count() == grown.filter("label = 0").count()
     gaps = df.withColumn("x", F.when(F.col("id") == "007", None).otherwise(F.col("x")))
-    filled = knn.knn_impute(gaps, "id", ["x", "y"], 1)
+    filled = masked.knn_impute(gaps, "id", ["x", "y"], 1)
     assert filled.columns == df.columns and filled.filter("x IS NULL").count() == 0
     first = split.first_rows(df, [F.lit(1).cast("bigint")], "id", {None: [2]})[0][(None, 2)]
     assert {r.id for r in df.filter(first).collect()} == {"007", "7"}
