@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from bindings.base import cohort, query, r6, rounded, table, with_cohort
@@ -12,7 +14,7 @@ from riskloom.operators.impute import apply_fills, fit_fills
 from riskloom.operators import compare, components, knn
 from riskloom.operators.outliers import OutlierRule, fit_outliers
 from riskloom.operators.split import random_split
-from riskloom.plans import anomaly, chained, explain, models, training
+from riskloom.plans import anomaly, boosting, chained, explain, models, stages, training, trees
 from riskloom.plans.training import ModelSpec
 from riskloom.session import cut_lineage, shared_folder
 from riskloom.streaming.scoring import read_file_stream, score_stream
@@ -37,11 +39,49 @@ def dense(spark, sf_dir):
 PLAIN = ModelSpec("logreg", NUMERIC, (), {"maxIter": 15})
 
 
-@query("t6_preprocessing_pipeline")
+def _place_sql(columns, first):
+    """One row per (patient, place of the feature vector)."""
+    parts = [
+        f"""SELECT patient_id, {first + i} AS place, (coalesce({c}, f.m_{c}) - f.a_{c}) / f.s_{c} AS v FROM cohort, f"""
+        for i, c in enumerate(columns)
+    ]
+    return parts
+
+
+_FACTS = ", ".join(f"median({c}) AS m_{c}" for c in NUMERIC)
+_SPREADS = ", ".join(f"avg(coalesce({c}, m_{c})) AS a_{c}, stddev_pop(coalesce({c}, m_{c})) AS s_{c}" for c in NUMERIC)
+_LEVELS = " UNION ALL ".join(f"SELECT {i} AS j, '{c}' AS c, coalesce({c}, 'missing') AS v FROM cohort GROUP BY ALL" for i, c in enumerate(CATEGORICAL))
+_LEVEL_OF = " ".join(f"WHEN '{c}' THEN coalesce({c}, 'missing')" for c in CATEGORICAL)
+
+
+@query(
+    "t6_preprocessing_pipeline",
+    with_cohort(
+        f""", m AS (SELECT {_FACTS} FROM cohort), f AS (SELECT {', '.join(f'any_value(m_{c}) AS m_{c}' for c in NUMERIC)}, {_SPREADS} FROM cohort, m),
+        l AS (SELECT c, v, {len(NUMERIC)} - 1 + row_number() OVER (ORDER BY j, v) AS place FROM ({_LEVELS}))
+        SELECT patient_id, CAST(place AS INT) AS place, {r6('v', 'v')} FROM ({' UNION ALL '.join(_place_sql(NUMERIC, 0))}
+        UNION ALL SELECT patient_id, place, (CASE l.c {_LEVEL_OF} END = l.v)::INT::DOUBLE FROM cohort, l)"""
+    ),
+)
 def t6_preprocessing_pipeline(spark, sf_dir):
+    """Exact medians, population scale, every level of a category; one row per place of the feature vector."""
     data = rows(spark, sf_dir)
-    pipeline = models.feature_pipeline(models.usable_columns(data, NUMERIC), CATEGORICAL)
-    return pipeline.fit(data).transform(data).select(KEY, models.vector_to_array("features").alias("features"))
+    model = stages.Preprocessor(numeric=NUMERIC, categorical=CATEGORICAL, keyCol=KEY).fit(data)
+    return rounded(model.transform(data).select(KEY, F.posexplode(models.vector_to_array("features")).alias("place", "v")))
+
+
+@query("t6_iterative_imputer")
+def t6_iterative_imputer(spark, sf_dir):
+    columns = [*NUMERIC, "filtrado_glomerular"]
+    data = models.model_input(cohort(spark, sf_dir), "mortality", KEY, columns)
+    fitted_on = stages.Preprocessor(numeric=columns, keyCol=KEY, imputer="iterative", learner="linear", scale=False).fit(cut_lineage(data))
+    return fitted_on.filled(data).select(KEY, *[f"{c}_filled" for c in columns])
+
+
+@query("t6_feature_selection")
+def t6_feature_selection(spark, sf_dir):
+    spec = stages.Preprocessor(numeric=NUMERIC, categorical=CATEGORICAL, keyCol=KEY, selection=True, selectionTrees=50)
+    return spark.createDataFrame([(i, s) for i, s in enumerate(spec.fit(rows(spark, sf_dir)).slots())], "place int, column string")
 
 
 @query("t7_cross_validation")
@@ -51,18 +91,33 @@ def t7_cross_validation(spark, sf_dir):
 
 @query("t7_cross_validation_smote")
 def t7_cross_validation_smote(spark, sf_dir):
-    spec = ModelSpec("logreg", NUMERIC, (), {"maxIter": 15}, balancing="smote")
-    return training.cross_validate(dense(spark, sf_dir), [spec], KEY, k=2, repeats=1)
+    spec = ModelSpec("logreg", NUMERIC, CATEGORICAL, {"maxIter": 15}, balancing="smote")
+    return training.cross_validate(rows(spark, sf_dir), [spec], KEY, k=2, repeats=1)
 
 
 @query("t8_nested_cv")
 def t8_nested_cv(spark, sf_dir):
-    return training.nested_cross_validate(rows(spark, sf_dir), LOGREG, KEY, outer=3, inner=2, draws=2)
+    return training.nested_cross_validate(rows(spark, sf_dir), LOGREG, KEY, outer=3, inner=3, draws=4)
 
 
 @query("t9_random_search")
 def t9_random_search(spark, sf_dir):
-    return training.random_search(rows(spark, sf_dir), LOGREG, KEY, draws=4, k=3)[1]
+    return training.random_search(rows(spark, sf_dir), LOGREG, KEY, draws=8, k=3)[1]
+
+
+@query("t9_grid_search_balanced")
+def t9_grid_search_balanced(spark, sf_dir):
+    spec = ModelSpec("logreg", NUMERIC, CATEGORICAL, {"maxIter": 15}, balancing="random_under")
+    return training.grid_search(rows(spark, sf_dir), spec, KEY, k=2)[1]
+
+
+_SMALL_FOREST = {"numTrees": [10, 15, 20], "maxDepth": [2, 3, 4, 5, 6], "minInstancesPerNode": [1, 2, 5, 10], "balancing": ["none", "class_weight"]}
+
+
+@query("t10_density_ratio_search")
+def t10_density_ratio_search(spark, sf_dir):
+    spec = ModelSpec("rf", NUMERIC, CATEGORICAL)
+    return training.density_ratio_search(rows(spark, sf_dir), spec, KEY, trials=14, k=2, space=_SMALL_FOREST)[1]
 
 
 @query("t10_halving_search")
@@ -76,11 +131,49 @@ def t11_model_catalogue(spark, sf_dir):
         LOGREG, TREE, ModelSpec("rf", NUMERIC, CATEGORICAL, {"numTrees": 10}),
         ModelSpec("gbt", NUMERIC, CATEGORICAL, {"maxIter": 5}),
         ModelSpec("gbt_balanced", NUMERIC, CATEGORICAL, {"maxIter": 5}),
+        ModelSpec("logreg_calibrated", NUMERIC, CATEGORICAL), ModelSpec("dtree_balanced", NUMERIC, CATEGORICAL),
+        ModelSpec("rf_balanced", NUMERIC, CATEGORICAL, {"numTrees": 10}),
+        ModelSpec("xgb", NUMERIC, CATEGORICAL, {"maxIter": 5}), ModelSpec("xgb_balanced", NUMERIC, CATEGORICAL, {"maxIter": 5, "scalePosWeight": 10.3}),
+        ModelSpec("lgbm", NUMERIC, CATEGORICAL, {"maxIter": 3}),
     ]
     scored = training.cross_validate(rows(spark, sf_dir), specs, KEY, k=2, repeats=1)
     return training.summarise_runs(scored)
 
 
+@query(
+    "t11_boosted_first_split",
+    with_cohort(
+        f""", b AS (SELECT edad, count(*) AS n, sum(0.5 - mortality) AS g, count(*) * 0.25 AS h FROM cohort GROUP BY edad),
+        c AS (SELECT edad, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER () AS g, sum(h) OVER () AS h FROM b WINDOW w AS (ORDER BY edad)),
+        s AS (SELECT edad, gl, hl, g, h, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) AS gain FROM c WHERE h - hl >= 1 AND hl >= 1)
+        SELECT edad AS threshold, {r6('-0.1 * gl / (hl + 1)', 'left_value')}, {r6('-0.1 * (g - gl) / (h - hl + 1)', 'right_value')}
+        FROM s ORDER BY gain DESC, edad LIMIT 1"""
+    ),
+)
+def t11_boosted_first_split(spark, sf_dir):
+    """The first split of regularised boosting: threshold and leaf values of a stump that starts at 0.5."""
+    data = models.model_input(cohort(spark, sf_dir), "mortality", KEY, ["edad"])
+    vectors = data.select("label", array_to_vector(F.array("edad")).alias("features"))
+    tree = boosting.BoostedTrees(maxIter=1, maxDepth=1, baseScore=0.5).fit(vectors).ensemble().trees[0]
+    row = (float(tree.threshold[0]), float(tree.value[tree.left[0]]), float(tree.value[tree.right[0]]))
+    return rounded(spark.createDataFrame([row], "threshold double, left_value double, right_value double"))
+
+
+@query("t11_neighbour_weights")
+def t11_neighbour_weights(spark, sf_dir):
+    data = cut_lineage(random_split(rows(spark, sf_dir), KEY))
+    spec = ModelSpec("knn", NUMERIC, CATEGORICAL, {"k": 7, "weights": "distance"})
+    model = training.fit_model(data.filter("split = 'train'"), spec, KEY)
+    return models.predict(model, data.filter("split = 'test'"), "knn").select(KEY, "probability_1", "predicted")
+
+
+@query("t11_regression")
+def t11_regression(spark, sf_dir):
+    data = cohort(spark, sf_dir).withColumn("target", F.col("escala_grace"))
+    numbers = models.model_input(data, "target", KEY, NUMERIC, CATEGORICAL)
+    return training.cross_validate_regression(cut_lineage(numbers), [ModelSpec("linreg", NUMERIC, CATEGORICAL)], KEY, k=3)
+
+
 @query("t11_knn_classifier")
 def t11_knn_classifier(spark, sf_dir):
     data = cut_lineage(random_split(dense(spark, sf_dir), KEY))
@@ -97,8 +190,8 @@ def t12_platt_calibration(spark, sf_dir):
 
 @query("t13_mlp")
 def t13_mlp(spark, sf_dir):
-    data = dense(spark, sf_dir)
-    model = training.fit_model(data, ModelSpec("mlp", NUMERIC, (), {"maxIter": 20}), KEY)
+    data = rows(spark, sf_dir)
+    model = training.fit_model(data, ModelSpec("mlp", NUMERIC, CATEGORICAL, {"maxIter": 20}), KEY)
     return models.predict(model, data, "mlp").select(KEY, "probability_1", "predicted")
 
 
@@ -108,6 +201,13 @@ def t14_stacking(spark, sf_dir):
     return weights
 
 
+@query("t14_stacked_scores")
+def t14_stacked_scores(spark, sf_dir):
+    data = rows(spark, sf_dir)
+    bases, meta, _ = training.stack(data, [LOGREG, TREE], KEY, k=2)
+    return training.stacked_scores(bases, meta, data).select(KEY, "label", "score")
+
+
 @query("t15_isolation_forest")
 def t15_isolation_forest(spark, sf_dir):
     return anomaly.forest_classifier(dense(spark, sf_dir), KEY, NUMERIC, trees=100)
@@ -139,8 +239,7 @@ def t16_curve_diagnosis(spark, sf_dir):
 
 @query("t20_balancer_grid")
 def t20_balancer_grid(spark, sf_dir):
-    tree = ModelSpec("dtree", NUMERIC, (), {"maxDepth": 4})
-    return training.balancer_grid(dense(spark, sf_dir), [PLAIN, tree], ["none", "class_weight", "random_under"], KEY, k=2)
+    return training.balancer_grid(rows(spark, sf_dir), [LOGREG, TREE], ["none", "class_weight", "random_under", "random_over"], KEY, k=2)
 
 
 @query("t21_experiment")
@@ -168,7 +267,7 @@ def f4_prefix_sweep(spark, sf_dir):
 
 @query("f5_importance_selection")
 def f5_importance_selection(spark, sf_dir):
-    return training.importance_selection(dense(spark, sf_dir), NUMERIC, KEY)
+    return training.importance_selection(rows(spark, sf_dir), NUMERIC, KEY, categorical=CATEGORICAL)
 
 
 @query("d13_pca")
@@ -248,6 +347,60 @@ def x5_linear_attributions(spark, sf_dir):
     return rounded(explain.linear_attributions(cohort(spark, sf_dir).select(KEY, *_WEIGHTS), _WEIGHTS, KEY))
 
 
+# A fixed tree: edad <= 60 ? 0.1 : (creatinina <= 2 or missing ? 0.3 : 0.7)
+_AT_AGE = "CASE WHEN creatinina IS NULL OR creatinina <= 2 THEN 0.3 ELSE 0.7 END"
+
+
+@query(
+    "x5_tree_attributions",
+    with_cohort(
+        f""", c AS (SELECT avg((edad <= 60)::INT) AS young, avg((edad > 60 AND (creatinina IS NULL OR creatinina <= 2))::INT) / avg((edad > 60)::INT) AS low FROM cohort),
+        v AS (SELECT patient_id, CASE WHEN edad <= 60 THEN 0.1 ELSE {_AT_AGE} END AS full_value,
+            CASE WHEN edad <= 60 THEN 0.1 ELSE low * 0.3 + (1 - low) * 0.7 END AS age_only,
+            young * 0.1 + (1 - young) * {_AT_AGE} AS creat_only, young * 0.1 + (1 - young) * (low * 0.3 + (1 - low) * 0.7) AS neither FROM cohort, c)
+        SELECT patient_id, 'edad' AS feature, {r6('(age_only - neither + full_value - creat_only) / 2', 'attribution')} FROM v
+        UNION ALL SELECT patient_id, 'creatinina', {r6('(creat_only - neither + full_value - age_only) / 2', 'attribution')} FROM v"""
+    ),
+)
+def x5_tree_attributions(spark, sf_dir):
+    """Attributions of a given tree whose covers are the counts of the table's rows."""
+    data = cohort(spark, sf_dir)
+    older, low = F.col("edad") > 60, F.col("creatinina").isNull() | (F.col("creatinina") <= 2)
+    n = data.agg(*[F.count_if(c).alias(f"n{i}") for i, c in enumerate((F.lit(True), ~older, older, older & low, older & ~low))]).first()
+    tree = trees.Tree(
+        feature=np.array([0, -1, 1, -1, -1]), threshold=np.array([60.0, np.nan, 2.0, np.nan, np.nan]), left=np.array([1, -1, 3, -1, -1]),
+        right=np.array([2, -1, 4, -1, -1]), value=np.array([0, 0.1, 0, 0.3, 0.7]), cover=np.array(list(n), float), missing_left=np.array([False, False, True, False, False]),
+    )
+    found = trees.tree_attributions(data, trees.Ensemble([tree], [1.0]), ["edad", "creatinina"], KEY, F.array("edad", "creatinina"))
+    return rounded(found)
+
+
+def _additive(name):
+    """Attributions plus base equal the model's own score, row by row."""
+
+    def run(spark, sf_dir):
+        data = rows(spark, sf_dir)
+        model = training.fit_model(data, ModelSpec(name, NUMERIC, CATEGORICAL, {"maxIter": 5} if name in ("gbt", "xgb") else {}), KEY)
+        found, base = explain.model_attributions(model, data, KEY)
+        total = found.groupBy(KEY).agg((F.sum("attribution") + F.lit(base)).alias("explained"))
+        column = "rawPrediction" if name in ("gbt", "xgb") else "probability"
+        own = model.transform(data).select(KEY, models.vector_to_array(column)[1].alias("own"))
+        return rounded(total.join(own, KEY).select(KEY, (F.col("explained") - F.col("own")).alias("gap")))
+
+    return run
+
+
+for _name in ("dtree", "rf", "gbt", "xgb"):
+    query(f"x5_tree_sum_{_name}", with_cohort("SELECT patient_id, 0.0::DOUBLE AS gap FROM cohort"))(_additive(_name))
+
+
+@query("x5_top_tree_attributions")
+def x5_top_tree_attributions(spark, sf_dir):
+    data = rows(spark, sf_dir)
+    model = training.fit_model(data, ModelSpec("rf", NUMERIC, CATEGORICAL), KEY)
+    return explain.top_attributions(explain.model_attributions(model, data, KEY)[0], KEY, 3)
+
+
 @query("x5_sampled_attributions")
 def x5_sampled_attributions(spark, sf_dir):
     data, model = fitted(spark, sf_dir)

@@ -4,7 +4,7 @@ Features are cut into bins at their own approximate quantiles once, and the binn
 tree is one pass: every task routes its rows through the tree so far and sums gradient and curvature per (node, feature,
 bin) of the smaller children; the larger child is the parent minus its sibling. Sums are whole numbers (fixed point), so
 the trees do not depend on how rows are partitioned. The driver sees at most nodes x features x bins sums per pass. Row
-sampling follows a hash of the row number and the round. Margins are written again every few trees, so that a pass
+sampling follows a hash of the row number (as the rows were written) and the round. Margins are written again every few trees, so that a pass
 evaluates only the trees since then and a lost executor repeats little.
 
 A node is split at the largest gain ``T(GL)^2/(HL+l2) + T(GR)^2/(HR+l2) - T(G)^2/(H+l2)`` with T the soft threshold by

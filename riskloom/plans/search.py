@@ -1,8 +1,8 @@
 """Parameter search by density ratios: small driver-side bookkeeping; the trials are Spark jobs.
 
-After some random trials the finished ones are split into the good (best tenth) and the others. Each parameter has a
-Parzen density over the good values and one over the others; candidates are drawn from the good density and the one with
-the largest ratio is tried next. A trial is stopped at a fold when its running mean is below the median of the running
+After some random trials the finished ones are split into the good (a quarter of the root of their number) and the
+others. Each parameter has a Parzen density over the good values and one over the others; candidates are drawn from the
+good density and the one with the largest ratio is tried next. A trial is stopped at a fold when its running mean is below the median of the running
 means that earlier trials had there.
 """
 
@@ -41,7 +41,7 @@ class ParzenSearch:
             return {n: self.random.choice(v) for n, v in self.space.items()}
         # stopped trials rank by their last running mean, behind those that went further
         order = sorted(self.trials, key=lambda t: (-len(t[1]), -sum(t[1]) / len(t[1])))
-        good = max(1, min(25, math.ceil(0.1 * len(order))))
+        good = math.ceil(0.25 * math.sqrt(len(order)))
         return {n: self._best_value(v, [p[n] for p, _ in order[:good]], [p[n] for p, _ in order[good:]]) for n, v in self.space.items()}
 
     def _best_value(self, values: list, good: list, others: list):
@@ -53,7 +53,7 @@ class ParzenSearch:
         """Share of every value: a wide prior and one kernel around each seen value."""
         n = len(values)
         total = [1.0 / n] * n
-        width = max(1.0, n / (1 + len(seen)))
+        width = max(1.0, 0.1 * n)
         for s in seen:
             at = values.index(s)
             kernel = [math.exp(-0.5 * ((i - at) / width) ** 2) for i in range(n)] if _is_ordered(values) else [float(i == at) for i in range(n)]

@@ -14,12 +14,15 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions.hashing import hash_order
 from riskloom.operators.compare import pairwise_model_tests
 from riskloom.operators.evaluate import rank_measures, ranked_scores, threshold_metrics
 from riskloom.operators.split import stratified_folds
+from riskloom.plans.boosting import BoostedTrees
 from riskloom.plans.models import (
     classifier,
     default_balancing,
@@ -122,6 +125,36 @@ def cross_validate(
     return scored.select("model", "run", F.col("auroc").alias("value"))
 
 
+def fit_regression(train: DataFrame, spec: ModelSpec, key: str, seed: int = 42) -> PipelineModel:
+    """Preprocessing and linear regression (``linreg``) or boosted trees on squares (``xgb``) for a numeric label."""
+    if spec.name == "linreg":
+        learner = LinearRegression(featuresCol="features", labelCol="label", **spec.params)
+    elif spec.name == "xgb":
+        learner = BoostedTrees(objective="squared", seed=seed, **spec.params)
+    else:
+        raise ValueError(f"{spec.name!r} does not predict numbers")
+    return Pipeline(stages=[preprocessor(spec, key, seed), learner]).fit(train)
+
+
+def cross_validate_regression(
+    df: DataFrame, specs: Sequence[ModelSpec], key: str, k: int = 5, repeats: int = 1, seed: int = 42
+) -> DataFrame:
+    """(model, run, rmse, mae, r2) of held-out rows; folds follow the hash of the key."""
+    rows = cut_lineage(df)
+
+    def job(spec: ModelSpec, r: int, f: int) -> DataFrame:
+        held = F.pmod(hash_order(key, f"{seed}-{r}"), F.lit(k)) == f
+        scored = fit_regression(rows.filter(~held), spec, key, seed).transform(rows.filter(held))
+        return scored.select(F.lit(spec.title).alias("model"), F.lit(r * k + f).alias("run"), "label", "prediction")
+
+    jobs = [(lambda s=s, r=r, f=f: job(s, r, f)) for s in specs for r in range(repeats) for f in range(k)]
+    scored = cut_lineage(reduce(DataFrame.unionByName, _run_all(jobs)))
+    off = F.col("label") - F.col("prediction")
+    return scored.groupBy("model", "run").agg(
+        F.sqrt(F.avg(off * off)).alias("rmse"), F.avg(F.abs(off)).alias("mae"), (1 - F.avg(off * off) / F.var_pop("label")).alias("r2")
+    )
+
+
 def summarise_runs(scores: DataFrame) -> DataFrame:
     return scores.groupBy("model").agg(
         F.count("value").alias("n_runs"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
@@ -150,34 +183,45 @@ def nested_cross_validate(
     )
 
 
+def prepared_fold(folded: DataFrame, spec: ModelSpec, key: str, f: int, seed: int = 42) -> tuple[DataFrame, DataFrame, str]:
+    """Training rows (preprocessed, balanced) and held-out rows of one fold, written, and how a learner is to be fitted."""
+    train, held = folded.filter(F.col("fold_0") != f), folded.filter(F.col("fold_0") == f)
+    ready = preprocessor(spec, key, seed).fit(train)
+    plain = balanced(spec, key, seed)
+    rows = cut_lineage(plain.resampled(ready.transform(train).select(key, "label", "features")))
+    seen = cut_lineage(ready.transform(held).select(key, "label", "features"))
+    return rows, seen, "class_weight" if plain.getOrDefault("strategy") == "class_weight" else "none"
+
+
 def candidate_scores(
-    folded: DataFrame, spec: ModelSpec, key: str, points: Sequence[dict], folds: Sequence[int], seed: int = 42
+    prepared: Mapping[int, tuple[DataFrame, DataFrame, str]], spec: ModelSpec, key: str, points: Sequence[dict], seed: int = 42
 ) -> DataFrame:
-    """(model, run, auroc): every point on the given values of ``fold_0``; ``model`` is the place of the point.
+    """(model, run, auroc): every point on every prepared fold; ``model`` is the place of the point.
 
     A fold is preprocessed and balanced once for all points, with the spec's own parameters and balancing.
     """
-    jobs = []
-    for f in folds:
-        train, held = folded.filter(F.col("fold_0") != f), folded.filter(F.col("fold_0") == f)
-        ready = preprocessor(spec, key, seed).fit(train)
-        plain = balanced(spec, key, seed)
-        rows = cut_lineage(plain.resampled(ready.transform(train).select(key, "label", "features")))
-        seen = cut_lineage(ready.transform(held).select(key, "label", "features"))
-        kind = "class_weight" if plain.getOrDefault("strategy") == "class_weight" else "none"
-
-        def job(i: int, point: dict, f: int = f, rows: DataFrame = rows, seen: DataFrame = seen, kind: str = kind) -> DataFrame:
-            learner = balanced(spec, key, seed, **point)
-            model = learner.copy({learner.strategy: kind}).fit(rows)
-            return with_score(model.transform(seen)).select(
-                F.lit(str(i)).alias("model"), F.lit(f).alias("run"), F.lit("validation").alias("part"), "label", "score"
-            )
 
-        jobs += [(lambda i=i, p=p, job=job: job(i, p)) for i, p in enumerate(points)]
+    def job(i: int, point: dict, f: int) -> DataFrame:
+        rows, seen, kind = prepared[f]
+        learner = balanced(spec, key, seed, **point)
+        model = learner.copy({learner.strategy: kind}).fit(rows)
+        return with_score(model.transform(seen)).select(
+            F.lit(str(i)).alias("model"), F.lit(f).alias("run"), F.lit("validation").alias("part"), "label", "score"
+        )
+
+    jobs = [(lambda i=i, p=p, f=f: job(i, p, f)) for f in prepared for i, p in enumerate(points)]
     scored = cut_lineage(reduce(DataFrame.unionByName, _run_all(jobs)))
     return run_scores(scored).select(F.col("model").cast("int").alias("model"), "run", "auroc")
 
 
+def point_means(df: DataFrame, spec: ModelSpec, key: str, points: Sequence[dict], k: int, seed: int) -> list[float]:
+    """Mean validation AUROC of every point."""
+    folded = with_folds(df, key, k, 1, seed)
+    scores = candidate_scores({f: prepared_fold(folded, spec, key, f, seed) for f in range(k)}, spec, key, points, seed)
+    means = {r["model"]: r["auroc"] for r in scores.groupBy("model").agg(F.avg("auroc").alias("auroc")).collect()}
+    return [float(means.get(i) or 0.0) for i in range(len(points))]
+
+
 def shown(point: dict) -> str:
     return ", ".join(f"{n}={v}" for n, v in sorted(point.items()))
 
@@ -191,12 +235,10 @@ def random_search(
     Points override the spec's parameters; its other parameters and its balancing hold for every candidate.
     """
     points = list(points or sampled_grid(spec.name, draws, seed))
-    folded = with_folds(df, key, k, 1, seed)
-    scores = candidate_scores(folded, spec, key, points, range(k), seed)
-    means = {r["model"]: r["auroc"] for r in scores.groupBy("model").agg(F.avg("auroc").alias("auroc")).collect()}
-    best = min(range(len(points)), key=lambda i: (-(means.get(i) or 0.0), i))
+    means = point_means(df, spec, key, points, k, seed)
+    best = min(range(len(points)), key=lambda i: (-means[i], i))
     model = fit_model(df, replace(spec, params=dict(spec.params) | points[best]), key, seed)
-    rows = [(shown(p), float(means.get(i) or 0.0)) for i, p in enumerate(points)]
+    rows = [(shown(p), m) for p, m in zip(points, means)]
     return model, df.sparkSession.createDataFrame(rows, "params string, auroc double")
 
 
@@ -217,13 +259,17 @@ def density_ratio_search(
     """
     search = ParzenSearch(FOREST_SPACE if space is None else space, seed)
     folded = with_folds(df, key, k, 1, seed)
+    prepared: dict[tuple[str, int], tuple[DataFrame, DataFrame, str]] = {}  # a fold is written once per balancing
     history = []
     for trial in range(trials):
         point = search.propose()
         chosen = candidate(spec, point)
         found: list[float] = []
         for f in range(k):
-            found.append(candidate_scores(folded, chosen, key, [{}], [f], seed).first()["auroc"] or 0.0)
+            place = (chosen.balancing, f)
+            if place not in prepared:
+                prepared[place] = prepared_fold(folded, chosen, key, f, seed)
+            found.append(candidate_scores({f: prepared[place]}, chosen, key, [{}], seed).first()["auroc"] or 0.0)
             if f + 1 < k and search.stops(found):
                 break
         search.record(point, found)
@@ -246,11 +292,8 @@ def halving_search(
     for r in range(rounds):
         share = 1.0 / 2 ** (rounds - 1 - r)
         part = hashed_share(df, key, share, f"{seed}-halving") if share < 1 else df
-        _, table = random_search(part, spec, key, k=k, seed=seed, points=points)
-        scores = [row.auroc for row in table.collect()]  # one row per candidate
-        history += [
-            (r, share, ", ".join(f"{n}={v}" for n, v in sorted(p.items())), a) for p, a in zip(points, scores)
-        ]
+        scores = point_means(part, spec, key, points, k, seed)
+        history += [(r, share, shown(p), a) for p, a in zip(points, scores)]
         ranked = sorted(zip(scores, range(len(points))), key=lambda t: (-t[0], t[1]))
         points = [points[i] for _, i in ranked[: max(1, len(points) // 2)]]
     return df.sparkSession.createDataFrame(history, "round int, share double, params string, auroc double")
