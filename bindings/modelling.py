@@ -275,6 +275,22 @@ def d13_pca(spark, sf_dir):
     return components.principal_components(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])[0]
 
 
+@query("d13_pca_new_rows")
+def d13_pca_new_rows(spark, sf_dir):
+    """Fitted on one part of the rows, applied to the others and taken back."""
+    data = cut_lineage(random_split(dense(spark, sf_dir), KEY))
+    fitted_on = components.fit_principal_projection(data.filter("split = 'train'"), NUMERIC)
+    scored = fitted_on.inverse_transform(fitted_on.transform(data.filter("split = 'test'")))
+    return scored.select(KEY, "c1", "c2", *[f"{c}_back" for c in NUMERIC])
+
+
+@query("f9_ica_new_rows")
+def f9_ica_new_rows(spark, sf_dir):
+    data = cut_lineage(random_split(dense(spark, sf_dir), KEY))
+    fitted_on = components.fit_independent_projection(data.filter("split = 'train'"), NUMERIC, KEY, 3, rounds=20)
+    return fitted_on.transform(data.filter("split = 'test'"), "ic").select(KEY, "ic1", "ic2", "ic3")
+
+
 @query("d14_loading_importance")
 def d14_loading_importance(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")

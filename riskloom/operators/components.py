@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -49,6 +50,60 @@ def principal_components(
     return table, long
 
 
+@dataclass
+class Projection:
+    """A fitted linear projection: standardise, then weigh. New rows are projected without a fit; gaps give null."""
+
+    columns: list[str]
+    mean: np.ndarray
+    spread: np.ndarray
+    weights: np.ndarray  # components x columns
+    back: np.ndarray  # columns x components
+
+    def transform(self, df: DataFrame, prefix: str = "c") -> DataFrame:
+        """The rows with ``{prefix}1`` .. for every component."""
+        x = [(F.col(c).cast("double") - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(self.columns, self.mean, self.spread)]
+        return df.withColumns({f"{prefix}{i + 1}": _weighed(x, row) for i, row in enumerate(self.weights)})
+
+    def inverse_transform(self, df: DataFrame, prefix: str = "c", suffix: str = "_back") -> DataFrame:
+        """The columns as the components describe them."""
+        parts = [F.col(f"{prefix}{i + 1}") for i in range(len(self.weights))]
+        return df.withColumns({
+            f"{c}{suffix}": _weighed(parts, row) * F.lit(float(s)) + F.lit(float(m))
+            for c, row, m, s in zip(self.columns, self.back, self.mean, self.spread)
+        })
+
+
+def _weighed(values: Sequence[Column], weights: np.ndarray) -> Column:
+    parts = [v * F.lit(float(w)) for v, w in zip(values, weights)]
+    return sum(parts[1:], parts[0])
+
+
+def _moments(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    kept = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    row = kept.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"s_{c}") for c in columns]).first()
+    if row[0] is None:
+        raise ValueError("no row has all columns")
+    return np.array([row[f"m_{c}"] for c in columns]), np.array([row[f"s_{c}"] or 1.0 for c in columns])
+
+
+def fit_principal_projection(df: DataFrame, columns: Sequence[str], variance: float = 0.95) -> Projection:
+    """Principal components up to the wanted variance, as a projection of any rows with these columns."""
+    mean, spread = _moments(df, columns)
+    table, long = principal_components(df, columns, variance)
+    weights = np.zeros((table.count(), len(columns)))
+    for r in long.collect():  # components x columns
+        weights[r["component"] - 1, list(columns).index(r["feature"])] = r["loading"]
+    return Projection(list(columns), mean, spread, weights, weights.T)
+
+
+def fit_independent_projection(df: DataFrame, columns: Sequence[str], key: str, n_components: int | None = None, **settings) -> Projection:
+    """Independent components as a projection of any rows with these columns."""
+    mean, spread = _moments(df, columns)
+    found = independent_components(df, columns, key, n_components, **settings)
+    return Projection(list(columns), mean, spread, found["unmixing"], found["mixing"])
+
+
 def loading_importance(loadings: DataFrame, components: int | None = None) -> DataFrame:
     """Square root of the summed squared loadings over the first components, per feature."""
     rows = loadings if components is None else loadings.filter(F.col("component") <= components)

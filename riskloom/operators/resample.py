@@ -1,8 +1,8 @@
 """Bootstrap intervals on (label, score) without re-scoring and without copying rows.
 
-Equal rows are one cell with a count. In replicate b a cell with count c weighs Poisson(c), drawn
-from a generator seeded by the cell itself, so the same rows get the same weights in every step and
-on any partitioning. Score ranges are worked on in parallel; what leaves a task is one short row per
+Equal rows are one cell with a count. In replicate b a cell with count c weighs Poisson(c), inverted
+from a hash of cell, replicate and seed, so the same rows get the same weights in every step and on
+any partitioning, and no generator keeps a state. Score ranges are worked on in parallel; what leaves a task is one short row per
 range and replicate.
 """
 
@@ -25,17 +25,48 @@ _SALTS = 64
 METRICS = ("auroc", "auprc", "accuracy", "precision", "recall", "f1", "brier")
 
 
+def _uniform(cells: np.ndarray, replicates: int, seed: int, side: int) -> np.ndarray:
+    """(cells, replicates) numbers in [0, 1): a function of cell, replicate, side and seed alone (splitmix64)."""
+    turn = np.arange(replicates, dtype=np.uint64) * np.uint64(2) + np.uint64(side)
+    x = cells[:, None] ^ _mixed(turn + np.uint64(seed % (1 << 32)) * np.uint64(0x100000001B3))[None, :]
+    return (_mixed(x) >> np.uint64(11)).astype(float) / float(1 << 53)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _poisson_table(count: int) -> tuple[int, np.ndarray]:
+    """First value and cumulative probabilities of Poisson(count), without tails below 1e-20."""
+    reach = 12 * np.sqrt(count) + 30
+    low = max(0, int(count - reach))
+    steps = np.log(count) - np.log(np.arange(low + 1, int(count + reach) + 1))
+    logs = np.r_[0.0, np.cumsum(steps)]
+    shares = np.exp(logs - logs.max())
+    return low, np.cumsum(shares / shares.sum())
+
+
+def poisson_weights(cells: np.ndarray, counts: np.ndarray, replicates: int, seed: int, side: int) -> np.ndarray:
+    """(cells, replicates) Poisson(count) weights by inversion, one table per distinct count."""
+    out = np.zeros((len(cells), replicates))
+    for count in np.unique(counts[counts > 0]):
+        at = np.flatnonzero(counts == count)
+        low, table = _poisson_table(int(count))
+        drawn = np.searchsorted(table, _uniform(cells[at], replicates, seed, side), "right")
+        out[at] = low + np.minimum(drawn, len(table) - 1)
+    return out
+
+
 def _weights(pdf: pd.DataFrame, replicates: int, seed: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
     """Chunks of cells in score order with their event and non-event weights per replicate."""
     pdf = pdf.sort_values(["score", "cell"], kind="stable")
     for start in range(0, len(pdf), _CHUNK):
         part = pdf.iloc[start : start + _CHUNK]
-        pos = np.empty((len(part), replicates))
-        neg = np.empty((len(part), replicates))
-        for i, (cell, p, n) in enumerate(zip(part.cell, part.pos, part.neg)):
-            draw = np.random.default_rng([seed, int(cell) & 0xFFFFFFFFFFFFFFFF])
-            pos[i] = draw.poisson(p, replicates) if p else 0.0
-            neg[i] = draw.poisson(n, replicates) if n else 0.0
+        cells = part.cell.to_numpy(np.int64).view(np.uint64)
+        pos, neg = (poisson_weights(cells, part[c].to_numpy(np.int64), replicates, seed, i) for i, c in enumerate(("pos", "neg")))
         yield part, pos, neg
 
 
@@ -70,14 +101,14 @@ def _range_totals(cells: DataFrame, replicates: int, seed: int, threshold: float
             flat = part.score.to_numpy()
             starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
             gp, gn = np.add.reduceat(pos, starts, axis=0), np.add.reduceat(neg, starts, axis=0)
-            for value, p, n in zip(flat[starts], gp, gn):
-                if pending_score == value:
-                    pending = (pending[0] + p, pending[1] + n)
-                    continue
-                if pending is not None:
-                    sums["wins"] += pending[0] * (below + pending[1] / 2)
-                    below = below + pending[1]
-                pending_score, pending = value, (p, n)
+            if pending is not None and pending_score == flat[0]:  # a score that goes on from the last chunk
+                gp[0], gn[0] = gp[0] + pending[0], gn[0] + pending[1]
+            elif pending is not None:
+                gp, gn = np.vstack([pending[0], gp]), np.vstack([pending[1], gn])
+            # all scores but the last are complete: prefix sums of the replicate vectors
+            before = below + np.cumsum(gn, axis=0) - gn
+            sums["wins"] += (gp[:-1] * (before[:-1] + gn[:-1] / 2)).sum(axis=0)
+            below, pending_score, pending = before[-1], flat[-1], (gp[-1], gn[-1])
         if pending is not None:
             sums["wins"] += pending[0] * (below + pending[1] / 2)
         return pd.DataFrame(
@@ -126,10 +157,10 @@ def _precision_sums(cells: DataFrame, totals: DataFrame, replicates: int, seed:
         for start in chunks:
             part = left.iloc[start : start + _CHUNK]
             for block, pos, neg in _weights(part, replicates, seed):
-                for i in range(len(block) - 1, -1, -1):
-                    tp, fp = tp + pos[i], fp + neg[i]
-                    called = tp + fp
-                    total += np.where(called > 0, pos[i] * tp / np.where(called > 0, called, 1), 0.0)
+                hits, false = tp + np.cumsum(pos[::-1], axis=0), fp + np.cumsum(neg[::-1], axis=0)
+                called = hits + false
+                total += (pos[::-1] * np.divide(hits, called, out=np.zeros_like(called), where=called > 0)).sum(axis=0)
+                tp, fp = hits[-1], false[-1]
         return pd.DataFrame({"replicate": np.arange(replicates), "precision_sum": total})
 
     left, right = spread(cells, "range"), spread(above, "range")

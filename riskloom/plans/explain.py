@@ -19,10 +19,11 @@ from riskloom.session import cut_lineage
 
 
 def _ranked_by_hash(df: DataFrame, key: str, seed: str) -> DataFrame:
-    """Key with its place 0.. in hash order, computed range by range."""
+    """Key with its place 0.. in hash order, computed range by range; rows of one hash follow their keys."""
     rows = df.select(key, hash_order(key, seed).alias("h"), F.lit(1).cast("long").alias("one"))
-    per_hash = rows.groupBy("h").agg(F.sum("one").alias("one"), F.min(key).alias(key))
-    return running_sums(per_hash, "h", ["one"]).select(key, F.col("one_before").alias("place"))
+    per_hash = rows.groupBy("h").agg(F.sum("one").alias("one"), F.sort_array(F.collect_list(key)).alias("keys"))  # a hash has few keys
+    places = running_sums(per_hash, "h", ["one"]).select("one_before", F.posexplode("keys").alias("i", key))
+    return places.select(key, (F.col("one_before") + F.col("i")).alias("place"))
 
 
 def permutation_importance(
