@@ -185,10 +185,11 @@ def counterfactuals(
     df: DataFrame, model: PipelineModel, modifiable: Sequence[str], key: str, target: float, k: int = 3,
     grid: int = 5, rounds: int = 2,
 ) -> DataFrame:
-    """The k smallest changes per row that bring the score closest to ``target``.
+    """k changes per row that bring the score close to ``target``, of different features where that is possible.
 
-    Candidates move one or two modifiable features to grid values inside the data range widened by
-    10 %; from the second round on, every row goes on from its best candidate so far.
+    A round moves one modifiable feature of every kept state to grid values inside the data range widened by 10 %.
+    k states per row go on: first the best of each set of changed features, then the second best of each; the row as it
+    is comes last. Nearness of the score decides, then the size of the change in standard deviations.
     """
     ranges = df.agg(
         *[F.struct(F.min(c).alias("low"), F.max(c).alias("high"), F.stddev_samp(c).alias("sd")).alias(c) for c in modifiable]
@@ -200,25 +201,27 @@ def counterfactuals(
         for i in range(grid):
             value = low - widen + (high - low + 2 * widen) * i / (grid - 1)
             options.append(F.struct(F.lit(c).alias("feature"), F.lit(float(value)).alias("to")))
-    start = df.withColumns({f"_from_{c}": F.col(c) for c in modifiable})
-    state = start
-    for r in range(rounds):
+    state = df.withColumns({f"_from_{c}": F.col(c) for c in modifiable})
+    for _ in range(rounds):
         tried = state.withColumn("o", F.explode(F.array(*options)))
         moved = tried.withColumns(
             {c: F.when(F.col("o.feature") == c, F.col("o.to")).otherwise(F.col(c)) for c in modifiable}
-        )
+        ).dropDuplicates([key, *modifiable])
         size = F.sqrt(
             sum(
                 (F.pow((F.col(c) - F.col(f"_from_{c}")) / F.lit(ranges[c].sd or 1.0), 2) for c in modifiable),
                 F.lit(0.0),
             )
         )
+        changed = F.concat_ws(",", *[F.when(~F.col(c).eqNullSafe(F.col(f"_from_{c}")), F.lit(c)) for c in modifiable])
         scored = with_score(model.transform(moved)).withColumns(
-            {"distance": F.abs(F.col("score") - F.lit(target)), "change": size}
-        ).select(*df.columns, *[f"_from_{c}" for c in modifiable], "score", "distance", "change")
-        # a row has a fixed, small number of candidates
-        order = Window.partitionBy(key).orderBy(F.round("distance", 6), F.round("change", 6), *modifiable)
-        best = scored.dropDuplicates([key, *modifiable]).withColumn("solution", F.row_number().over(order))
-        best = cut_lineage(best.filter(F.col("solution") <= k))
-        state = best.filter("solution = 1").drop("score", "distance", "change", "solution")
-    return best.select(key, "solution", *modifiable, "score", "distance", "change")
+            {"distance": F.abs(F.col("score") - F.lit(target)), "change": size, "changed": changed}
+        ).select(*df.columns, *[f"_from_{c}" for c in modifiable], "score", "distance", "change", "changed")
+        # a row has a fixed, small number of candidates: the best of every set of changed features, then the second best
+        nearest = [F.round("distance", 6), F.round("change", 6), *modifiable]
+        ranked = scored.withColumn("_nth", F.row_number().over(Window.partitionBy(key, "changed").orderBy(*nearest)))
+        order = Window.partitionBy(key).orderBy(F.col("changed") == "", "_nth", *nearest)
+        best = ranked.withColumn("solution", F.row_number().over(order)).filter(F.col("solution") <= k)
+        best = cut_lineage(best)
+        state = best.drop("score", "distance", "change", "changed", "solution", "_nth")
+    return best.select(key, "solution", "changed", *modifiable, "score", "distance", "change")

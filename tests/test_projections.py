@@ -72,3 +72,21 @@ def test_rows_of_one_hash_keep_their_places(spark, monkeypatch):
     monkeypatch.setattr(explain, "hash_order", lambda key, seed: F.pmod(F.col(key), F.lit(7)).cast("bigint"))
     places = explain._ranked_by_hash(spark.range(50).withColumnRenamed("id", "k"), "k", "s").collect()
     assert sorted(r["place"] for r in places) == list(range(50)) and len({r["k"] for r in places}) == 50
+
+
+def test_counterfactuals_differ_in_what_they_change(spark):
+    from riskloom.plans.training import ModelSpec, fit_model
+    from riskloom.session import cut_lineage
+
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 3))
+    y = (x.sum(axis=1) + 0.2 * rng.standard_normal(300) > 1.5).astype(float)
+    frame = cut_lineage(spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))], "id long, a double, b double, c double, label double"))
+    model = fit_model(frame, ModelSpec("logreg", ["a", "b", "c"]), "id")
+    few = frame.filter("id < 20")
+    found = explain.counterfactuals(few, model, ["a", "b", "c"], "id", target=0.1, k=3).toPandas()
+    own = {r["id"]: r["score"] for r in explain.with_score(model.transform(few)).collect()}
+    assert len(found) == 60 and (found.groupby("id")["changed"].nunique() == 3).all() and (found["changed"] != "").all()
+    best = found[found["solution"] == 1].set_index("id")
+    far = [i for i in own if abs(own[i] - 0.1) > 0.3]
+    assert far and all(best.loc[i, "distance"] < 0.5 * abs(own[i] - 0.1) for i in far)
