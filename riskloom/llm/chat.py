@@ -52,7 +52,7 @@ def _numbered(turns: DataFrame) -> DataFrame:
     """
     rows = turns.select(
         "conv_id",
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("_c"),
+        F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null")).alias("_c"),
         F.struct("turn", "role", "text").alias("_i"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),

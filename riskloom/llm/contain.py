@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.text import let
+from riskloom.llm.text import guarded, let
 from riskloom.session import cut_lineage
 
 
@@ -93,6 +93,7 @@ def containment(docs: DataFrame, items: DataFrame, length: int = 5, share: float
     )
 
 
+@guarded("_row")
 def decontaminate(docs: DataFrame, items: DataFrame, length: int = 5, share: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that contain no item; all columns stay."""
     bad = cut_lineage(containment(docs, items, length, share).select("_row").distinct())

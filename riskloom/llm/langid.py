@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.llm.text import guarded
+
 PIECE = 24
 UNDETERMINED = "und"
 NAMES = ("emb", "wf", "uf", "bf", "wb", "ub", "bb", "v", "c")
@@ -238,6 +240,7 @@ class _Labeller:
         return out / np.maximum(size, 1)[:, None]
 
 
+@guarded("_lettered", "_label")
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """All rows with ``lang_pred`` and ``score`` (the pooled probability, 0 to 1); every byte of a text counts.
 

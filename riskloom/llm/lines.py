@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.text import guarded
 from riskloom.session import cut_lineage
 
 
@@ -45,6 +46,7 @@ def widespread(docs: DataFrame, site: str = "source", least: int = 10, margin: f
     return cut_lineage(spread.filter(F.col("sites") > least * (1 + margin)).select("line_hash").unionByName(exact.select("line_hash")))
 
 
+@guarded("_row", "_bad", "_lines", "line_hash")
 def drop_widespread_lines(docs: DataFrame, site: str = "source", least: int = 10, **settings) -> DataFrame:
     """All rows with boilerplate lines taken out of ``text``, and ``n_lines``, ``n_removed``.
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.text import guarded
 from riskloom.session import cut_lineage
 
 TERMS = 20  # a draw has a mean of at most 1; more than 20 events then have a chance below 1e-19
@@ -43,6 +44,7 @@ def rates(docs: DataFrame, exponent: float = 0.5, epochs: float = 1.0, weights:
     )
 
 
+@guarded("_source", "_parts", "_cdf", "_n")
 def replicate(docs: DataFrame, repetition: DataFrame, seed: int = 11) -> DataFrame:
     """Every row repeated by its Poisson count, with ``replica`` (from 0) and ``shuffle_key``, in a global shuffle.
 

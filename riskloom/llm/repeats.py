@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.llm.text import guarded
 from riskloom.session import cut_lineage, drop_table, release
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -256,6 +257,7 @@ def _cut_words(window: int):
     return cut
 
 
+@guarded("tk", "tc", "spots", "copied", "_cut")
 def drop_repeats(docs: DataFrame, window: int = 35, rounds: int = 5) -> DataFrame:
     """All rows with ``n_words``, ``n_removed`` and ``kept``: the words outside every repeated window, one space apart.
 

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.llm.text import guarded
+
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -317,6 +319,7 @@ def _span_text(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
+@guarded("_found")
 def scan(docs: DataFrame, field: Field | None, caution: float = 2.0) -> DataFrame:
     """All rows with ``secrets``: array of (kind, start, end) in code points, and ``base_sha256``, ``span_text``.
 

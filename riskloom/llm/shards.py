@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.llm.text import guarded
 from riskloom.session import cut_lineage
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
@@ -135,6 +136,7 @@ def _cell_of(edges: list[tuple[int, int]]):
     return cell
 
 
+@guarded("_key", "_tie", "_cell", "_start", "_at")
 def shard(docs: DataFrame, shards: int = 24, cells: int = 8, tolerance: float = 0.002, keep_whole: float = 0.5) -> DataFrame:
     """All rows with ``size``, ``text_crc32``, ``shard`` (0 ..) and gapless ``slot`` in the shard's key order.
 

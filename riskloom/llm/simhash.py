@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.llm.components import components
+from riskloom.llm.text import guarded
 from riskloom.session import cut_lineage
 
 _SPAN = 60_000  # shingles summed in 16-bit lanes at a time
@@ -167,6 +168,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     return _classes(docs, shingle, distance).select("doc_id", "fp", "root", "component_id")
 
 
+@guarded("_id", "_hash", "_nth")
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their component, one row each; all input columns stay.
 

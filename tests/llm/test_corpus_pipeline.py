@@ -38,3 +38,8 @@ def test_run_and_odd_tables(spark, sf_dir):
         docs = spark.createDataFrame(rows, SCHEMA)
         for _, stage in corpus_pipeline.STAGES:
             docs = spark.createDataFrame(stage(spark, docs, sf_dir).select(*docs.columns).collect(), SCHEMA)
+
+
+def test_documents_without_labels_stay(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.identify_language(spark, docs, sf_dir).count() == docs.count()

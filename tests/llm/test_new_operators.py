@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_corpus_operators import LONG, SCHEMA, odd_rows
 
-from riskloom.llm import importance, minhash, negatives
+from riskloom.llm import chat, contain, importance, langid, lines, minhash, mixing, negatives, repeats, secrets, shards, simhash
 from riskloom.llm.queries import QUERIES
 from riskloom.llm.text import unused
 
@@ -232,3 +232,32 @@ def test_registered_query_against_brute_force(spark, sf_dir):
     got = QUERIES["op13_sketch_near_dedup"](spark, sf_dir).select("doc_id", "n_shingles", "component_id", "kept")
     assert sorted(map(tuple, got.collect()), key=str) == brute_components(rows, 2, 80)
     assert len(LONG.split()) == 30_000
+
+
+@pytest.mark.parametrize("operator,private", [
+    (lambda d: shards.shard(d, shards=3), ("_key", "_tie", "_cell", "_start", "_at")),
+    (lambda d: langid.predict(d, None), ("_lettered", "_label")),
+    (lambda d: repeats.drop_repeats(d), ("tk", "TC", "spots", "copied", "_cut")),
+    (lambda d: secrets.scan(d, None), ("_found",)),
+    (simhash.keep_one, ("_id", "_hash", "_nth")),
+    (lambda d: mixing.replicate(d, mixing.rates(d)), ("_source", "_parts", "_cdf", "_n")),
+    (lambda d: contain.decontaminate(d, d.select(F.col("doc_id").alias("item_id"), "text").limit(0)), ("_row",)),
+    (lambda d: lines.drop_widespread_lines(d, least=3), ("_row", "_bad", "_lines", "line_hash")),
+    (lambda d: minhash.keep_one(d, shingle=2), ("h", "id", "class", "kept")),
+    (lambda d: importance.rank(importance.weigh(d, d).drop("text")), ("at", "found", "part", "start")),
+])
+def test_extra_columns_keep_their_names_and_values(spark, operator, private):
+    few = [r for r in odd_rows() if r[1] is None or len(r[1]) < 5000]
+    docs = spark.createDataFrame(few, SCHEMA).withColumns({n: F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in private})
+    out = operator(docs).collect()
+    assert out
+    for r in out:
+        for n in private:
+            assert r[n] == f"{n} of {'none' if r['doc_id'] is None else r['doc_id']}"
+
+
+def test_a_text_id_is_not_a_null_id(spark):
+    rows = [("null", 0, "user", "a"), ("null", 1, "assistant", "b"), (None, 0, "user", "c"), (None, 1, "assistant", "d")]
+    turns = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    got = {r["conv_id"]: r["n_turns"] for r in chat.digest(chat.windows(turns)).collect()}
+    assert got == {"null": 2, None: 2}
