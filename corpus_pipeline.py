@@ -15,9 +15,15 @@ LEAST_LANGUAGE_SCORE = 0.35
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is recognised; the model learns from the labelled rows of its input."""
+    """Keeps the documents whose language is recognised; the model learns from the labelled rows of its input.
+
+    An input without labelled rows teaches nothing, so all of it stays.
+    """
     names = docs.columns
-    found = langid.predict(docs, langid.train(docs))
+    model = langid.train(docs)
+    if model is None:
+        return docs
+    found = langid.predict(docs, model)
     return found.filter((found["lang_pred"] != langid.UNDETERMINED) & (found["score"] >= LEAST_LANGUAGE_SCORE)).select(*names)
 
 
