@@ -117,7 +117,7 @@ _SMALL_FOREST = {"numTrees": [10, 15, 20], "maxDepth": [2, 3, 4, 5, 6], "minInst
 @query("t10_density_ratio_search")
 def t10_density_ratio_search(spark, sf_dir):
     spec = ModelSpec("rf", NUMERIC, CATEGORICAL)
-    return training.density_ratio_search(rows(spark, sf_dir), spec, KEY, trials=14, k=2, space=_SMALL_FOREST)[1]
+    return training.density_ratio_search(rows(spark, sf_dir), spec, KEY, trials=8, k=2, space=_SMALL_FOREST, startup=5)[1]
 
 
 @query("t10_halving_search")

@@ -249,7 +249,7 @@ def grid_search(df: DataFrame, spec: ModelSpec, key: str, k: int = 3, seed: int
 
 def density_ratio_search(
     df: DataFrame, spec: ModelSpec, key: str, trials: int = 50, k: int = 5, seed: int = 42,
-    space: Mapping[str, Sequence] | None = None,
+    space: Mapping[str, Sequence] | None = None, startup: int = 10,
 ) -> tuple[PipelineModel, DataFrame]:
     """Model search by density ratios with median stops (see ``search.ParzenSearch``) over ``space``.
 
@@ -257,7 +257,7 @@ def density_ratio_search(
     fold and is stopped when its running mean falls below the median of earlier trials at the same fold. The space's
     ``balancing`` values choose the balancing; other names are parameters of the learner.
     """
-    search = ParzenSearch(FOREST_SPACE if space is None else space, seed)
+    search = ParzenSearch(FOREST_SPACE if space is None else space, seed, startup)
     folded = with_folds(df, key, k, 1, seed)
     prepared: dict[tuple[str, int], tuple[DataFrame, DataFrame, str]] = {}  # a fold is written once per balancing
     history = []
