@@ -122,6 +122,22 @@ def d6_pearson_matrix(spark, sf_dir):
     return rounded(association.pearson_pairs(cohort(spark, sf_dir).select(*_CLINICAL), _CLINICAL))
 
 
+_DIMENSIONS = 64
+
+
+@query(
+    "d6_pearson_matrix_wide",
+    f"""SELECT 'e' || i AS a, 'e' || j AS b, {r6('corr(embedding[i + 1], embedding[j + 1])', 'r')},
+    CAST(count(*) FILTER (embedding[i + 1] IS NOT NULL AND embedding[j + 1] IS NOT NULL) AS BIGINT) AS n
+    FROM embeddings, range({_DIMENSIONS}) AS p(i), range({_DIMENSIONS}) AS q(j) WHERE i < j GROUP BY i, j""",
+)
+def d6_pearson_matrix_wide(spark, sf_dir):
+    """All pairs of the vector's components as columns, from one scan."""
+    names = [f"e{i}" for i in range(_DIMENSIONS)]
+    wide = table(spark, sf_dir, "embeddings").select(*[F.get("embedding", F.lit(i)).alias(c) for i, c in enumerate(names)])
+    return rounded(association.pearson_pairs(wide, names))
+
+
 def _midrank(column: str) -> str:
     return f"rank() OVER (ORDER BY {column}) + (count(*) OVER (PARTITION BY {column}) - 1) / 2.0"
 
@@ -142,22 +158,27 @@ def d7_spearman_matrix(spark, sf_dir):
     return rounded(association.spearman_pairs(cohort(spark, sf_dir).select(*_RANKED), _RANKED))
 
 
-@query(
-    "d8_kendall",
-    with_cohort(
-        f""", p AS (SELECT edad AS x, escala_grace AS y, count(*) AS w FROM cohort WHERE escala_grace IS NOT NULL GROUP BY ALL),
+def _kendall_sql(rows: str, a: str, b: str) -> str:
+    return f"""p AS (SELECT {a} AS x, {b} AS y, count(*) AS w FROM {rows} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL),
         s AS (SELECT sum(a.w * b.w * sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS s FROM p a, p b),
         n AS (SELECT sum(w) AS n FROM p),
         tx AS (SELECT sum(m * (m - 1) / 2) AS t FROM (SELECT sum(w) AS m FROM p GROUP BY x)),
         ty AS (SELECT sum(m * (m - 1) / 2) AS t FROM (SELECT sum(w) AS m FROM p GROUP BY y))
-        SELECT 'edad' AS a, 'escala_grace' AS b,
+        SELECT '{a}' AS a, '{b}' AS b,
         {r6('s / sqrt((n * (n - 1) / 2 - tx.t) * (n * (n - 1) / 2 - ty.t))', 'tau')}, CAST(n AS BIGINT) AS n FROM s, n, tx, ty"""
-    ),
-)
+
+
+@query("d8_kendall", with_cohort(", " + _kendall_sql("cohort", "edad", "escala_grace")))
 def d8_kendall(spark, sf_dir):
     return rounded(association.kendall(cohort(spark, sf_dir).select("edad", "escala_grace"), "edad", "escala_grace"))
 
 
+@query("d8_kendall_orders", "WITH " + _kendall_sql("orders", "o_totalprice", "o_custkey"))
+def d8_kendall_orders(spark, sf_dir):
+    """Many distinct values on both axes, one of them with ties."""
+    return rounded(association.kendall(table(spark, sf_dir, "orders"), "o_totalprice", "o_custkey"))
+
+
 @query(
     "d9_numeric_test",
     with_cohort(

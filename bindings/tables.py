@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -87,6 +88,22 @@ def s5_snapshots(spark, sf_dir):
     )
 
 
+@query(
+    "s5_snapshot_round_trip",
+    f"""SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n, {r6('sum(o_totalprice)', 'total')}
+    FROM orders GROUP BY 1""",
+)
+def s5_snapshot_round_trip(spark, sf_dir):
+    """Two versions of the orders and one of another table are written; the newest of the orders is read."""
+    orders = table(spark, sf_dir, "orders")
+    root = scratch(spark)
+    tables.write_snapshot(orders.filter("o_orderstatus = 'F'"), root, "orders", datetime(2024, 1, 1))
+    tables.write_snapshot(orders, root, "orders", datetime(2024, 1, 2))
+    tables.write_snapshot(orders.filter("o_orderstatus = 'O'"), root, "other", datetime(2024, 1, 3))
+    newest = tables.read_latest_snapshot(spark, root, "orders")
+    return rounded(newest.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total")))
+
+
 @query(
     "p1_features",
     with_cohort(

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.tails import chi2_tail, f_tail, normal_tail, t_tail
-from riskloom.operators.prefix import sums_over_ranges, value_ranks, with_cut_range, with_range_in_groups
+from riskloom.operators.prefix import range_bits, sums_over_ranges, value_ranks, with_cut_range, with_range, with_range_in_groups
 from riskloom.operators.quantiles import clean_double, quantiles
 from riskloom.session import cut_lineage
 
 _SPEARMAN_BATCH = 16
 _PAIRS_PER_SCAN = 400
+_DIGIT_BITS = 2
+_BLOCK_COLUMNS = 64
 
 
 def correlation_band(r: Column) -> Column:
@@ -25,28 +27,73 @@ def correlation_band(r: Column) -> Column:
     return F.when(size < 0.3, "weak").when(size < 0.7, "moderate").when(size.isNotNull(), "strong")
 
 
+def co_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row (a, b, n, sx, sy, sxx, syy, sxy) per pair of columns, a before b, over pairwise complete rows.
+
+    One scan for any number of pairs: every task adds up Gram blocks of ``_BLOCK_COLUMNS`` columns, of the values and of the
+    masks of present values, and gives each block once; Spark sums them by block. Values are shifted by their column's
+    mean first (one row of means), so that the sums of squares stay small.
+    """
+    columns = list(columns)
+    cleaned = df.select(*[clean_double(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+    means = cleaned.agg(*[F.avg(c).alias(c) for c in cleaned.columns]).first()
+    shift = np.array([0.0 if m is None or not np.isfinite(m) else m for m in means])
+    blocks = [slice(n, min(n + _BLOCK_COLUMNS, len(columns))) for n in range(0, len(columns), _BLOCK_COLUMNS)]
+    kinds = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            x = batch.to_numpy(dtype=float, na_value=np.nan) - shift
+            held = ~np.isnan(x)
+            x, m = np.where(held, x, 0.0), held.astype(float)
+            for i, p in enumerate(blocks):
+                for j, q in enumerate(blocks[i:], i):
+                    xp, xq, mp, mq = x[:, p].T, x[:, q], m[:, p].T, m[:, q]
+                    part = np.stack([mp @ mq, xp @ mq, mp @ xq, (xp * xp) @ mq, mp @ (xq * xq), xp @ xq])
+                    sums[i, j] = sums[i, j] + part if (i, j) in sums else part
+        for (i, j), part in sums.items():
+            left, right = np.meshgrid(np.arange(blocks[i].start, blocks[i].stop), np.arange(blocks[j].start, blocks[j].stop), indexing="ij")
+            once = left < right
+            yield pd.DataFrame({"i": left[once], "j": right[once], **{k: part[at][once] for at, k in enumerate(kinds)}})
+
+    schema = "i int, j int, " + ", ".join(f"{k} double" for k in kinds)
+    summed = cleaned.mapInPandas(add_up, schema).groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in kinds])
+    names = F.array(*[F.lit(c) for c in columns])
+    return summed.select(F.get(names, "i").alias("a"), F.get(names, "j").alias("b"), F.col("n").cast("long").alias("n"), *kinds[1:])
+
+
+def _pearson_of_moments(moments: DataFrame) -> DataFrame:
+    n = F.col("n").cast("double")
+
+    def spread(product: str, left: str, right: str) -> Column:
+        return F.col(product) - F.try_divide(F.col(left) * F.col(right), n)
+
+    vx, vy = spread("sxx", "sx", "sx"), spread("syy", "sy", "sy")
+    # below this share of the squares a spread is rounding, that is, the column is constant on these rows
+    varies = (vx > 1e-14 * F.col("sxx")) & (vy > 1e-14 * F.col("syy"))
+    return moments.select("a", "b", F.when(varies, spread("sxy", "sx", "sy") / F.sqrt(vx * vy)).alias("r"), "n")
+
+
 def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Long (a, b, r, n) over pairwise complete rows; hundreds of pairs share one scan."""
+    """Long (a, b, r, n) over pairwise complete rows, in one scan: built-in correlations for up to a few hundred
+    pairs, blocked co-moments beyond."""
     pairs = list(combinations(columns, 2))
+    if len(pairs) > _PAIRS_PER_SCAN:
+        return _pearson_of_moments(co_moments(df, columns))
     cleaned = df.select(*[clean_double(F.col(c)).alias(c) for c in columns])
-    parts = []
-    for start in range(0, len(pairs), _PAIRS_PER_SCAN):
-        chunk = pairs[start : start + _PAIRS_PER_SCAN]
-        row = cleaned.agg(
-            *[
-                F.struct(
-                    F.lit(a).alias("a"),
-                    F.lit(b).alias("b"),
-                    F.nanvl(F.corr(a, b), F.lit(None).cast("double")).alias("r"),
-                    F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n"),
-                ).alias(f"p{i}")
-                for i, (a, b) in enumerate(chunk)
-            ]
-        )
-        parts.append(
-            row.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(chunk))])))
-        )
-    return reduce(DataFrame.unionByName, parts)
+    row = cleaned.agg(
+        *[
+            F.struct(
+                F.lit(a).alias("a"),
+                F.lit(b).alias("b"),
+                F.nanvl(F.corr(a, b), F.lit(None).cast("double")).alias("r"),
+                F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n"),
+            ).alias(f"p{i}")
+            for i, (a, b) in enumerate(pairs)
+        ]
+    )
+    return row.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])))
 
 
 def _pair_counts(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -113,89 +160,71 @@ def _spearman_batch(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFram
     return names.join(found, "pair", "left").select("a", "b", "rho", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def _block_pairs(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    """Weighted concordant minus discordant pairs of one block, ties on either axis counting none.
+def _discordant(counts: DataFrame, order: str, coded: str) -> DataFrame:
+    """One row (d): weight of the pairs of rows that ``order`` and ``coded`` put in opposite order.
 
-    Bottom-up merge on x order: at each level every element of a right half counts the weight of
-    smaller and larger y in its left half by binary search.
+    The values of ``coded`` become dense ranks, read as digits of two bits. Two ranks part at exactly one digit, below
+    a common prefix, so a discordant pair is met once: in the group (digit place, prefix), where the row that is earlier
+    in ``order`` has the larger digit. Whole ranges of ``order`` meet through sums per range; inside a range a
+    running sum per digit does. A value hot enough to be a cut has a range of its own and no pair inside.
     """
-    order = np.lexsort((y, x))
-    x, y, w = x[order], y[order], w[order].astype(float)
-    n, total, width = len(x), 0.0, 1
-    starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-    # pairs with equal x must count nothing: count them all below, then take them out again
-    while width < n:
-        for low in range(0, n, 2 * width):
-            mid, high = min(low + width, n), min(low + 2 * width, n)
-            if mid >= high:
-                continue
-            left = np.argsort(y[low:mid], kind="stable")
-            ly, lw = y[low:mid][left], np.r_[0.0, np.cumsum(w[low:mid][left])]
-            below = lw[np.searchsorted(ly, y[mid:high], "left")]
-            above = lw[-1] - lw[np.searchsorted(ly, y[mid:high], "right")]
-            total += float(np.dot(w[mid:high], below - above))
-        width *= 2
-    # inside one x the y are sorted, so every pair with y' < y was counted once as concordant
-    for low, high in zip(starts, np.r_[starts[1:], n]):
-        if high - low > 1:
-            gw, gy = w[low:high], y[low:high]
-            before = np.r_[0.0, np.cumsum(gw)]
-            total -= float(np.dot(gw, before[np.searchsorted(gy, gy, "left")]))
-    return total
+    values = cut_lineage(counts.select(coded).distinct().withColumn("one", F.lit(1).cast("long")))
+    codes = sums_over_ranges(with_range(values, coded, ["one"]), coded, ["one"]).select(coded, F.col("one_before").alias("code"))
+    places = max(1, -(-(values.count() - 1).bit_length() // _DIGIT_BITS))
+    ranged = with_cut_range(counts, order, range_bits(counts))
+    rows = cut_lineage(ranged.join(codes, coded).select(F.col(order).alias("at"), "_range", "code", "w"))
+
+    def shift(n: str) -> Column:
+        return F.expr(f"shiftright(code, {n})")
+
+    placed = rows.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(places - 1)))).select(
+        "at", "_range", "w", "place",
+        shift(f"{_DIGIT_BITS} * (place + 1)").alias("prefix"),
+        shift(f"{_DIGIT_BITS} * place").bitwiseAND(F.lit((1 << _DIGIT_BITS) - 1)).alias("digit"),
+    )
+    digits = range(1 << _DIGIT_BITS)
+    group = ["place", "prefix"]
+    per_range = placed.groupBy(*group, "_range").agg(
+        *[F.sum(F.when(F.col("digit") == d, F.col("w")).otherwise(F.lit(0))).cast("double").alias(f"w{d}") for d in digits]
+    )
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    above = [F.coalesce(F.sum(sum(F.col(f"w{e}") for e in digits if e > d)).over(earlier), F.lit(0.0)) for d in digits[:-1]]
+    across = per_range.select(sum(F.col(f"w{d}") * above[d] for d in digits[:-1]).alias("d"))
+
+    inside = Window.partitionBy(*group, "_range").orderBy("at", "digit").rowsBetween(Window.unboundedPreceding, -1)
+    larger = [F.coalesce(F.sum(F.when(F.col("digit") > d, F.col("w"))).over(inside), F.lit(0)) for d in digits[:-1]]
+    seen = F.lit(0).cast("long")
+    for d in digits[:-1]:
+        seen = F.when(F.col("digit") == d, larger[d]).otherwise(seen)
+    within = placed.filter(F.col("_range") % 2 == 1).select((F.col("w").cast("double") * seen).alias("d"))
+    return across.unionByName(within).agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("d"))
 
 
 def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row (a, b, tau, n): exact Kendall tau-b without comparing all pairs of rows.
 
-    Both axes are cut into ranges (a cut value is a range of its own, so a hot value never shares
-    one). Pairs in different ranges on both axes follow from the grid counts; pairs sharing an x
-    range, or only a y range, are counted inside that range by merge counting.
+    Discordant pairs are counted digit by digit of the ranks of the axis with fewer distinct values; pairs tied on
+    an axis follow from value counts, and the concordant ones are the rest. Null without a pair untied on both axes.
     """
     counts = cut_lineage(_pair_counts(df, [(a, b)]).drop("pair"))  # read by every step below
-    for axis in ("x", "y"):
-        counts = with_cut_range(counts, axis).withColumnRenamed("_range", f"r{axis}")
-    counts = cut_lineage(counts)
-    grid = counts.groupBy("rx", "ry").agg(F.sum("w").alias("w"))
-
-    def inside_x(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = _block_pairs(pdf.x.to_numpy(), pdf.y.to_numpy(), pdf.w.to_numpy())
-        return pd.DataFrame({"s": [s]})
-
-    def inside_y(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = _block_pairs(pdf.rx.to_numpy(), pdf.y.to_numpy(), pdf.w.to_numpy())
-        return pd.DataFrame({"s": [s]})
-
-    def whole_grid(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = _block_pairs(pdf.rx.to_numpy(), pdf.ry.to_numpy(), pdf.w.to_numpy())
-        return pd.DataFrame({"s": [s]})
-
-    # a range holding a single value has no untied pair on that axis: nothing to count, however hot
-    mixed_x = counts.groupBy("rx").agg((F.min("x") < F.max("x")).alias("mixed")).filter("mixed")
-    mixed_y = counts.groupBy("ry").agg((F.min("y") < F.max("y")).alias("mixed")).filter("mixed")
-    parts = (
-        counts.join(mixed_x, "rx", "left_semi").groupBy("rx").applyInPandas(inside_x, "s double")
-        .unionByName(
-            counts.join(mixed_y, "ry", "left_semi").groupBy("ry").applyInPandas(inside_y, "s double")
-        )
-        .unionByName(grid.groupBy(F.lit("grid").alias("g")).applyInPandas(whole_grid, "s double"))
-    )
-    untied = parts.agg(F.sum("s").alias("s"))
-    pairs = lambda n: n * (n - 1) / 2
+    sizes = counts.agg(F.approx_count_distinct("x").alias("x"), F.approx_count_distinct("y").alias("y")).first()
+    order, coded = ("x", "y") if sizes["y"] <= sizes["x"] else ("y", "x")
 
-    def tied(axis: str) -> Column:
-        per_value = counts.groupBy(axis).agg(F.sum("w").cast("double").alias("m"))
+    def pairs(n: Column) -> Column:
+        return n * (n - 1) / 2
+
+    def tied(*axes: str) -> Column:
+        per_value = counts.groupBy(*axes).agg(F.sum("w").cast("double").alias("m"))
         return per_value.agg(F.sum(pairs(F.col("m")))).scalar()
 
     total = counts.agg(F.sum("w")).scalar()
-    n = F.col("n").cast("double")
-    return untied.select(
-        F.lit(a).alias("a"), F.lit(b).alias("b"), "s", total.alias("n"), tied("x").alias("tx"),
-        tied("y").alias("ty"),
+    whole = pairs(F.col("n").cast("double"))
+    untied = whole - F.col("tx") - F.col("ty") + F.col("txy")
+    return _discordant(counts, order, coded).select(
+        "d", total.alias("n"), tied("x").alias("tx"), tied("y").alias("ty"), tied("x", "y").alias("txy")
     ).select(
-        "a", "b",
-        F.try_divide(
-            F.col("s"), F.sqrt((pairs(n) - F.col("tx")) * (pairs(n) - F.col("ty")))
-        ).alias("tau"),
+        F.lit(a).alias("a"), F.lit(b).alias("b"),
+        F.try_divide(untied - 2 * F.col("d"), F.sqrt((whole - F.col("tx")) * (whole - F.col("ty")))).alias("tau"),
         "n",
     )
 

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LinearSVC
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.hashing import hash_order, hash_uniform
@@ -173,25 +175,59 @@ def borderline_smote(
     return smote(df, target, key, columns, k, seed, seeds=cut_lineage(seeds.select("key")))
 
 
-def svm_smote(
-    df: DataFrame, target: str, key: str, columns: Sequence[str], k: int = 5, seed: int = 42
+def fourier_features(columns: Sequence[str], variance: float, features: int, seed: int) -> Column:
+    """Vector of random Fourier features: their inner products approach exp(-|x - y|^2 / (columns * variance)).
+
+    The projection is ``columns`` x ``features`` numbers drawn from the seed.
+    """
+    draw = np.random.default_rng(seed)
+    gamma = 1.0 / (len(columns) * variance) if variance > 0 else 1.0
+    directions = draw.normal(0.0, np.sqrt(2 * gamma), (len(columns), features))
+    phases = draw.uniform(0.0, 2 * np.pi, features)
+
+    @F.pandas_udf("array<double>")
+    def project(*values: pd.Series) -> pd.Series:
+        x = np.column_stack([v.to_numpy(dtype=float) for v in values])
+        return pd.Series(list(np.sqrt(2.0 / features) * np.cos(x @ directions + phases)))
+
+    return array_to_vector(project(*[F.col(c).cast("double") for c in columns]))
+
+
+def margin_seeds(
+    df: DataFrame, target: str, key: str, columns: Sequence[str], features: int = 256, m: int = 10, seed: int = 42
 ) -> DataFrame:
-    """Seeds are minority rows inside the margin of a linear support vector classifier."""
+    """``key`` of the minority rows that hold up the margin of a support vector classifier with a Gaussian kernel.
+
+    The kernel's width is the variance over all cells, as in the usual "scale" setting; classes weigh the same. Rows
+    whose ``m`` neighbours are all of another class are noise and no seeds. Rows with gaps take no part.
+    """
     minority, _, _ = _classes(df, target)
     rows = _keyed(df, key).dropna(subset=list(columns))
-    labelled = rows.withColumn("_label", (F.col(target) == F.lit(minority)).cast("double"))
-    assembled = VectorAssembler(inputCols=list(columns), outputCol="features").transform(labelled)
-    n = {r[0]: r[1] for r in assembled.groupBy("_label").count().collect()}
-    weighted = assembled.withColumn(
-        "_w", F.when(F.col("_label") == 1, n[0.0] / n[1.0]).otherwise(F.lit(1.0))
+    cells = rows.select(F.explode(F.array(*[F.col(c).cast("double") for c in columns])).alias("x"))
+    variance = cells.agg(F.var_pop("x")).first()[0] or 0.0
+    labelled = rows.select(
+        "key", (F.col(target) == F.lit(minority)).cast("double").alias("_label"),
+        fourier_features(columns, variance, features, seed).alias("features"),
+    )
+    labelled = cut_lineage(labelled)
+    n = {r[0]: r[1] for r in labelled.groupBy("_label").count().collect()}
+    if not n.get(0.0) or not n.get(1.0):
+        return rows.filter(F.col(target) == F.lit(minority)).select("key")
+    weighted = labelled.withColumn("_w", F.when(F.col("_label") == 1, n[0.0] / n[1.0]).otherwise(F.lit(1.0)))
+    svm = LinearSVC(
+        labelCol="_label", weightCol="_w", maxIter=100, regParam=1.0 / (2 * n[0.0]), standardization=False
     )
-    svm = LinearSVC(labelCol="_label", weightCol="_w", maxIter=30, standardization=True)
     scored = svm.fit(weighted).transform(weighted.filter("_label = 1"))
-    margin = F.expr("rawPrediction")
-    from pyspark.ml.functions import vector_to_array
+    held = scored.filter(vector_to_array("rawPrediction")[1] <= 1).select("key")
+    mix = neighbour_mix(df, df.filter(F.col(target) == F.lit(minority)), target, key, columns, m)
+    return held.join(mix.filter("others < n"), "key", "left_semi")
 
-    seeds = scored.filter(F.abs(vector_to_array(margin)[1]) <= 1).select("key")
-    return smote(df, target, key, columns, k, seed, seeds=cut_lineage(seeds))
+
+def svm_smote(
+    df: DataFrame, target: str, key: str, columns: Sequence[str], k: int = 5, seed: int = 42
+) -> DataFrame:
+    """Seeds are the minority rows of ``margin_seeds``."""
+    return smote(df, target, key, columns, k, seed, seeds=cut_lineage(margin_seeds(df, target, key, columns, seed=seed)))
 
 
 def tomek_links(df: DataFrame, target: str, key: str, columns: Sequence[str]) -> DataFrame:

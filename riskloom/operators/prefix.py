@@ -69,11 +69,11 @@ def with_range_in_groups(df: DataFrame, order: str, by: Sequence[str]) -> DataFr
     return bounded.withColumn("_range", range_of(F.col(order), F.col("_cuts"), bits)).drop("_cuts")
 
 
-def with_cut_range(df: DataFrame, order: str) -> DataFrame:
-    """Like ``with_range`` with 256 ranges, but a cut value is a range of its own (even numbers), so that a
+def with_cut_range(df: DataFrame, order: str, bits: int = RANGE_BITS) -> DataFrame:
+    """Like ``with_range`` with ``2 ** bits`` ranges, but a cut value is a range of its own (even numbers), so that a
     hot value never shares its range with others."""
-    bounded = df.withColumn("_cuts", df.agg(_quantile_cuts(order, RANGE_BITS)).scalar())
-    below = range_of(F.col(order), F.col("_cuts"))
+    bounded = df.withColumn("_cuts", df.agg(_quantile_cuts(order, bits)).scalar())
+    below = range_of(F.col(order), F.col("_cuts"), bits)
     on_cut = F.coalesce(F.get("_cuts", F.col("_range") - 1) == F.col(order), F.lit(False))
     return (
         bounded.withColumn("_range", below)

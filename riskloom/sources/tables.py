@@ -36,12 +36,14 @@ def missing_as_null(df: DataFrame) -> DataFrame:
     )
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Read csv or parquet by extension. Csv without a schema is inferred (a second pass)."""
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True
+) -> DataFrame:
+    """Read csv or parquet by extension. Csv without a schema is inferred (a second pass); ``multi_line`` as in ``read_csv``."""
     if format_of(path) == "parquet":
         reader = spark.read.schema(schema) if schema else spark.read
         return missing_as_null(reader.parquet(path))
-    return missing_as_null(read_csv(spark, path, schema))
+    return missing_as_null(read_csv(spark, path, schema, multi_line=multi_line))
 
 
 def csv_encoding(spark: SparkSession, path: str) -> str:
@@ -52,35 +54,37 @@ def csv_encoding(spark: SparkSession, path: str) -> str:
 
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str = ",",
-    encoding: str | None = None,
+    encoding: str | None = None, multi_line: bool = True,
 ) -> DataFrame:
     """Csv with header; lines with a wrong number of fields are skipped, ``bad_csv_lines`` shows them.
 
-    Quoted cells may hold line breaks and doubled quotes. Files with such cells can't be split, so each file is
-    read by one task: write large tables as many files.
+    Quoted cells may hold doubled quotes and, with ``multi_line``, line breaks. Files with such breaks can't be split, so
+    each file is then read by one task. ``multi_line=False`` states that no cell holds a line break: every line is a record
+    and large files are split among tasks.
     """
-    reader = _csv_reader(spark, path, sep, encoding).option("mode", "DROPMALFORMED")
+    reader = _csv_reader(spark, path, sep, encoding, multi_line).option("mode", "DROPMALFORMED")
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     return reader.csv(path)
 
 
-def _csv_reader(spark: SparkSession, path: str, sep: str, encoding: str | None):
+def _csv_reader(spark: SparkSession, path: str, sep: str, encoding: str | None, multi_line: bool):
     return (
         spark.read.option("header", True)
         .option("sep", sep)
         .option("encoding", encoding or csv_encoding(spark, path))
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
     )
 
 
 def bad_csv_lines(
-    spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", encoding: str | None = None
+    spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", encoding: str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """``line``: the raw records that ``read_csv`` with this schema skips."""
     wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    reader = _csv_reader(spark, path, sep, encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
+    reader = _csv_reader(spark, path, sep, encoding, multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
     # Written with all columns, as a reader that is asked for the raw record alone parses nothing.
     return cut_lineage(reader.schema(wide).csv(path).filter("_bad IS NOT NULL")).select(F.col("_bad").alias("line"))
 
