@@ -144,6 +144,37 @@ def test_top_k_exact_with_ties(spark):
     assert topk.top_k(vectors.filter("vec_id < 0")).count() == 0
 
 
+def test_top_k_prunes_clustered_vectors(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((20, 12)) * 4
+    v = np.floor((centres[rng.integers(0, 20, 2000)] + rng.standard_normal((2000, 12)) * 0.2) * 1024).astype(int)
+    v = np.floor(v / np.linalg.norm(v, axis=1, keepdims=True) * 1024).astype(int)
+    vectors = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, v array<long>")
+    rows, index = topk.build(vectors, ring_rows=16)
+    assert 1.5 * len(set(index.pivot.tolist())) < len(index.names) and index.sizes.sum() == 2000
+    queries = vectors.filter("vec_id % 50 = 0")
+    found = topk.candidates(queries, rows, index, 10, block=256, queries_per_block=16)
+    assert topk.visited_share(found, rows) < 0.3
+    got = {}
+    for r in topk.search(queries, rows, index, 10, block=256, queries_per_block=16).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 2000, 50):
+        best = sorted((-int(v[q] @ x), i) for i, x in enumerate(v) if i != q)[:10]
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+
+
+def test_top_k_hot_ring_and_least_scores(spark):
+    """A third of the rows equal, rings above the block size, and scores far below zero."""
+    rows = [(i, [7, -3]) for i in range(100)] + [(i, [(-1) ** (i // 4) * (i % 4) * 10**9, i]) for i in range(100, 300)]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, v array<long>"), every=100, k=7, block=32, pivots=4)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q, x in rows[::100]:
+        best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in rows if i != q)[:7]
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+
+
 def test_top_k_large_numbers_stay_exact(spark):
     rows = [(0, [3_000_000_001, 1]), (1, [2_999_999_999, 5]), (2, [2_999_999_999, 4])]
     out = topk.top_k(spark.createDataFrame(rows, "vec_id long, v array<long>"), every=100, pivots=2).orderBy("rank").collect()
