@@ -109,7 +109,7 @@ def _far_apart(points: np.ndarray, n: int) -> list[int]:
 
 
 def build(
-    vectors: DataFrame, pivots: int | None = None, most_rings: int = 64, ring_rows: int = 32, references: int = 16, block: int = 2048
+    vectors: DataFrame, pivots: int | None = None, most_rings: int = 64, ring_rows: int = 16, references: int = 16, block: int = 2048
 ) -> tuple[DataFrame, Pivots] | None:
     """The index table ``vec_id, v, ring, block`` (every vector) and its pivots; None for an empty table.
 
