@@ -97,48 +97,45 @@ def _mask(first: int, last: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def _lookups(distance: int) -> tuple[list[tuple[int, int, int, int]], int]:
-    """(table, mask of the key, first bit, last bit of the ball) for every table, and the ball's radius."""
-    if distance <= 2:
-        # Two errors spare at least two of four segments. A table leaves one segment out of the key; the ball of
-        # radius 1 covers an error in an earlier segment, the left-out segment may hold the rest.
-        return [(y, _mask(0, 64) ^ _mask(16 * y, 16 * y + 16), 0, 16 * y) for y in range(4)], 1
-    # One of distance // 2 + 1 segments holds at most one error.
+def _segments(distance: int) -> list[tuple[int, int]]:
+    """First bit and end of every segment: of distance // 2 + 1 segments, one holds at most one error."""
     count = distance // 2 + 1
     cuts = [64 * k // count for k in range(count + 1)]
-    return [(k, _mask(a, b), a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))], 1
+    return list(zip(cuts, cuts[1:]))
 
 
 def links(prints: DataFrame, distance: int = 2) -> DataFrame:
     """``a, b, bits`` for all pairs of distinct values in ``prints(fp)`` that differ in at most ``distance`` bits.
 
-    Tables hold each fingerprint under its masked value; probes look up the value itself and, inside the ball, the
-    value with one 0 set (its partner, seen from the other side, has the 1). Full distances decide.
+    There is one table per segment: it holds every fingerprint under the segment's bits. A probe looks up the ball of
+    radius 1 around its own segment: the segment itself and the segment with one 0 set (a partner with the 0 sees this
+    one from the other side). Full distances decide. A pair is taken from the first table whose segment has at most
+    one error, so it is met once.
     """
     fp = F.col("fp")
-    tables, _ = _lookups(distance)
+    segments = _segments(distance)
 
     def entry(table: int, key: Column, flipped: bool) -> Column:
         return F.struct(F.lit(table).alias("t"), key.alias("key"), F.lit(flipped).alias("flipped"))
 
-    def masked(mask: int) -> Column:
-        return fp.bitwiseAND(F.lit(mask).cast("bigint"))
+    def masked(bits: Column, first: int, last: int) -> Column:
+        return bits.bitwiseAND(F.lit(_mask(first, last)).cast("bigint"))
 
-    stored = F.array(*[entry(t, masked(m), False) for t, m, _, _ in tables])
+    stored = F.array(*[entry(t, masked(fp, *cut), False) for t, cut in enumerate(segments)])
 
-    def ball(table: int, mask: int, first: int, last: int) -> Column:
-        return F.transform(_zero_bits(fp, first, last), lambda i: entry(table, masked(mask).bitwiseOR(_bit(i)), True))
+    def ball(table: int, first: int, last: int) -> Column:
+        return F.transform(_zero_bits(fp, first, last), lambda i: entry(table, masked(fp, first, last).bitwiseOR(_bit(i)), True))
 
-    probed = F.concat(stored, *[ball(*spec) for spec in tables if spec[3] > spec[2]])
+    probed = F.concat(stored, *[ball(t, *cut) for t, cut in enumerate(segments)])
     left = prints.select(fp.alias("x"), F.explode(probed).alias("p")).select("x", "p.*")
     right = prints.select(fp.alias("y"), F.explode(stored).alias("p")).select("y", "p.t", "p.key")
-    bits = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
-    found = left.join(right, ["t", "key"]).filter((bits <= distance) & F.when(F.col("flipped"), F.col("x") != F.col("y")).otherwise(F.col("x") < F.col("y")))
-    if distance <= 2:
-        # A single error is met by the plain keys already, so a flipped probe adds only pairs at distance 2.
-        found = found.filter(~F.col("flipped") | (bits == 2))
-    pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), bits.alias("bits"))
-    return pairs if distance <= 2 else pairs.distinct()
+    differ = F.col("x").bitwiseXOR(F.col("y"))
+    bits = F.bit_count(differ)
+    once = F.when(F.col("flipped"), F.lit(True)).otherwise(F.col("x") < F.col("y"))
+    for t, cut in enumerate(segments[:-1]):
+        once = once & ((F.col("t") <= t) | (F.bit_count(masked(differ, *cut)) > 1))
+    found = left.join(right, ["t", "key"]).filter((bits <= distance) & once)
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), bits.alias("bits"))
 
 
 def _text_hash(text: Column) -> Column:
