@@ -339,29 +339,22 @@ def subgroup_performance(
 ) -> DataFrame:
     """Event rate and AUROC of each score in every level of every dimension, in one pass.
 
+    Rows are counted per score value and combination of levels first; only these counts are repeated per dimension.
     AUROC is null unless the level has more than ``min_rows`` rows and ``min_events`` events.
     """
-    levels = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(d).alias("dimension"), c.cast("string").alias("level"))
-                for d, c in dimensions.items()
-            ]
-        )
-    )
-    pairs = F.explode(
-        F.array(*[F.struct(F.lit(s).alias("score_name"), F.col(s).cast("double").alias("s")) for s in scores])
-    )
-    long = (
-        df.filter(F.col(label).isNotNull())
-        .select(F.col(label).alias("y"), levels.alias("l"), *scores)
-        .filter(F.col("l.level").isNotNull())
-        .select("y", "l.*", pairs.alias("p"))
-        .select("y", "dimension", "level", "p.score_name", "p.s")
-        .filter(F.col("s").isNotNull())
-    )
+    places = {d: f"_level{i}" for i, d in enumerate(dimensions)}
+    levels = [c.cast("string").alias(places[d]) for d, c in dimensions.items()]
+    pairs = F.array(*[F.struct(F.lit(s).alias("score_name"), F.col(s).cast("double").alias("s")) for s in scores])
+    scored = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("y"), *levels, F.inline(pairs))
+    counted = score_histogram(scored, "y", "s", [*places.values(), "score_name"])
+    each = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(c).alias("level")) for d, c in places.items()])
     by = ["dimension", "level", "score_name"]
-    measured = rank_measures(ranked_scores(long, "y", "s", by), by)
+    hist = (
+        counted.select("score_name", "score", "pos", "neg", F.inline(each))
+        .filter(F.col("level").isNotNull())
+        .groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    )
+    measured = rank_measures(running_sums(cut_lineage(hist), "score", ["pos", "neg"], by), by)
     n = F.col("n_pos") + F.col("n_neg")
     enough = (n > min_rows) & (F.col("n_pos") >= min_events)
     return measured.select(

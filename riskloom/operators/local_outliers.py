@@ -16,47 +16,32 @@ from riskloom.operators.prefix import running_sums, weighted_quantile
 from riskloom.operators.quantiles import clean_double
 
 CHUNK = 50_000
+#: Values times neighbours that one block may hold at a time
+CELLS = 2_000_000
 # Fixed value: keeps the density of coinciding points finite
 TINY = 1e-10
 
 
-def _windows(x: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Per value: distance to its k-th neighbour, and (index, weight) of the k neighbours.
+def factors(x: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """Local outlier factor of each distinct value of a sorted block.
 
-    Members of the same value come first; among equally distant values the smaller one comes first.
+    A value's k neighbours lie among the k distinct values on either side. Members of the same value come first;
+    among equally distant values the smaller one comes first.
     """
-    reach = np.zeros(len(x))
-    lists = []
-    for i in range(len(x)):
-        left, right, need = i - 1, i + 1, float(k)
-        own = min(float(n[i] - 1), need)
-        idx, weight = ([i], [own]) if own > 0 else ([], [])
-        need -= own
-        far = 0.0
-        while need > 0 and (left >= 0 or right < len(x)):
-            dl = x[i] - x[left] if left >= 0 else np.inf
-            dr = x[right] - x[i] if right < len(x) else np.inf
-            j, far = (left, dl) if dl <= dr else (right, dr)
-            take = min(float(n[j]), need)
-            idx.append(j)
-            weight.append(take)
-            need -= take
-            left, right = (left - 1, right) if dl <= dr else (left, right + 1)
-        reach[i] = far
-        lists.append((np.array(idx, dtype=int), np.array(weight)))
-    return reach, lists
-
-
-def factors(x: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
-    """Local outlier factor of each distinct value of a sorted block."""
-    reach, lists = _windows(x, n, k)
-    density = np.empty(len(x))
-    for i, (idx, weight) in enumerate(lists):
-        far = np.maximum(np.abs(x[idx] - x[i]), reach[idx])
-        density[i] = 1.0 / (float(weight @ far) / k + TINY)
-    return np.array(
-        [float(weight @ density[idx]) / k / density[i] for i, (idx, weight) in enumerate(lists)]
-    )
+    at = np.arange(len(x))[:, None]
+    near = at + np.arange(-k, k + 1)
+    held = (near >= 0) & (near < len(x))
+    near = np.clip(near, 0, len(x) - 1)
+    far = np.where(held, np.abs(x[near] - x[at]), np.inf)
+    members = np.where(held, n[near] - (near == at), 0)
+    order = np.argsort(far, axis=1, kind="stable")
+    near, far, members = (np.take_along_axis(m, order, axis=1) for m in (near, far, members))
+    taken = np.clip(k - (np.cumsum(members, axis=1) - members), 0, members).astype(float)
+    far = np.where(taken > 0, far, 0.0)
+    reach = far.max(axis=1)
+    reached = np.where(taken > 0, np.maximum(far, reach[near]), 0.0)
+    density = 1.0 / ((taken * reached).sum(axis=1) / k + TINY)
+    return (taken * density[near]).sum(axis=1) / k / density
 
 
 def lof_by_value(df: DataFrame, column: str, k: int = 20, chunk: int = CHUNK) -> DataFrame:
@@ -65,6 +50,7 @@ def lof_by_value(df: DataFrame, column: str, k: int = 20, chunk: int = CHUNK) ->
     counts = values.groupBy("value").agg(F.count("*").alias("n"), F.lit(1).cast("long").alias("one"))
     placed = running_sums(counts, "value", ["one", "n"]).filter(F.col("n_total") > k)
     halo = 3 * (k + 1)
+    chunk = max(halo, min(chunk, CELLS // (2 * k + 1)))
     place = F.col("one_before")
     home = F.floor(place / chunk).cast("long")
     first, last = F.floor((place - halo) / chunk), F.floor((place + halo) / chunk)
