@@ -65,7 +65,8 @@ def test_shards_cut_a_hot_group_and_take_odd_rows(spark, docs, none):
 def test_language_gradients():
     w = {k: v.astype(np.float64) for k, v in langid.start_weights(3, 4, 5, 1).items()}
     rng = np.random.default_rng(0)
-    x, y = rng.integers(97, 110, (6, 5)).astype(np.uint8), rng.integers(0, 3, 6)
+    x, y = rng.integers(97, 110, (5, 6)), rng.integers(0, 3, 6)
+    x[3:, 2] = langid.PAD
     _, g = langid.gradients({k: v.astype(np.float32) for k, v in w.items()}, x, y)
     for name, at in (("emb", (100, 2)), ("wf", (1, 3)), ("uf", (2, 9)), ("ub", (0, 5)), ("bb", (7,)), ("v", (3, 1)), ("c", (2,))):
         ends = []
@@ -73,13 +74,13 @@ def test_language_gradients():
             v = {k: a.astype(np.float32).copy() for k, a in w.items()}
             v[name][at] += move
             p = langid.position_probabilities(v, x)
-            ends.append(-np.log(p[:, np.arange(6), y]).mean())
+            ends.append(-np.log(p[:, y, np.arange(6)][x != langid.PAD]).mean())
         assert (ends[0] - ends[1]) / 2e-2 == pytest.approx(float(g[name][at]), abs=2e-3)
 
 
 def test_language_held_out_accuracy(spark, none, docs):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model = langid.train(table, steps=400)
+    model = langid.train(table)
     out = langid.predict(table.withColumn("score", F.lit("x")), model).withColumn("h", ~langid.in_training(F.col("doc_id"))).toPandas()
     held = out[out["h"]]
     assert len(held) > 250 and (held["lang"] == held["lang_pred"]).mean() > 0.97 and out["score"].between(0, 1).all()
@@ -87,9 +88,47 @@ def test_language_held_out_accuracy(spark, none, docs):
     assert {odd[i]["lang_pred"] for i in (20, 21, 22)} == {"und"} and odd[23]["lang_pred"] in model.langs
     assert langid.train(none) is None and langid.predict(docs, None).filter("lang_pred <> 'und'").count() == 0
     assert langid.predict(none, model).count() == 0
-    run, labels = langid.label_positions("hello", model)[0]
-    assert run == b"hello" and len(labels) == 5
-    assert langid._Labeller(model).pool(["ab " * 5])[0] == pytest.approx(langid._Labeller(model, most=0).pool(["ab"])[0])
+    assert len(langid.label_positions("hello", model)) == 5
+    words = next(t for t in table.filter("lang = 'en' AND n_chars > 3000").limit(1).toPandas()["text"]).split()
+    shuffled = [" ".join(words), " ".join(sorted(words)), "  ".join(words)]
+    p = langid.pool(model, shuffled)
+    assert len({tuple(np.round(row, 9)) for row in p}) == 3
+
+
+def forward(w, data):
+    """The distribution at every position, one state after the other over the whole sequence."""
+    def sigmoid(v):
+        return 1 / (1 + np.exp(-v))
+
+    states, hidden = {}, w["uf"].shape[0]
+    for d, order in (("f", range(len(data))), ("b", range(len(data) - 1, -1, -1))):
+        h, states[d] = np.zeros(hidden), np.zeros((len(data), hidden))
+        for t in order:
+            a, b = w["emb"][data[t]] @ w["w" + d] + w["b" + d], h @ w["u" + d]
+            z, r = sigmoid(a[:hidden] + b[:hidden]), sigmoid(a[hidden : 2 * hidden] + b[hidden : 2 * hidden])
+            n = np.tanh(a[2 * hidden :] + r * b[2 * hidden :])
+            h = n + z * (h - n)
+            states[d][t] = h
+    s = np.exp(np.concatenate([states["f"], states["b"]], axis=1) @ w["v"] + w["c"])
+    return s / s.sum(axis=1, keepdims=True)
+
+
+def test_language_windows_equal_the_forward_pass(monkeypatch):
+    monkeypatch.setattr(langid, "WINDOW", 40)
+    monkeypatch.setattr(langid, "BLOCK", 300)
+    monkeypatch.setattr(langid, "ROWS", 3)
+    model = langid.Model(["a", "b", "c"], langid.start_weights(3, 4, 5, 1))
+    rng = np.random.default_rng(2)
+    texts = ["", "x", "two words", "".join(chr(k) for k in rng.integers(32, 300, 39)), "z" * 40, "", "é \n" * 15]
+    exact = [forward(model.weights, t.encode()).mean(axis=0) if t else np.zeros(3) for t in texts]
+    near = langid.pool(model, texts)
+    short = [i for i, t in enumerate(texts) if len(t.encode()) <= 40]
+    assert np.allclose(near[short], np.array(exact)[short], atol=1e-4)
+    monkeypatch.setattr(langid, "CONTEXT", 400)
+    texts = [*texts, " ".join(["word"] * 60), "many bytes " * 30]
+    exact = [forward(model.weights, t.encode()).mean(axis=0) if t else np.zeros(3) for t in texts]
+    assert np.allclose(langid.pool(model, texts), exact, atol=1e-4)
+    assert langid.label_positions(texts[-2], model) == [model.langs[k] for k in forward(model.weights, texts[-2].encode()).argmax(axis=1)]
 
 
 def brute_repeats(texts, window):
