@@ -263,6 +263,35 @@ def test_secrets(spark, none):
         assert [x for x in got[i]["span_text"].split(",") if x and not x.startswith("crf")] == ([x for x in text.split(",") if x])
     assert got[8]["span_text"] == "" and got[5]["secrets"] == []
     assert got[50]["span_text"] == "crf:12:53" or got[50]["span_text"].startswith("crf:12:")
+    # Secrets that no pattern knows, each at some word boundary of a text: found whole, and nothing beside them.
+    rng = np.random.default_rng(5)
+    planted, places = [], {}
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    for i, row in enumerate(r for r in table.filter("n_chars > 100").limit(400).toLocalIterator()):
+        secret, words = ("ghp_" if i % 2 else "") + "".join(rng.choice(letters, 32)), row["text"].split(" ")
+        at = int(rng.integers(1, len(words)))
+        start = len(" ".join(words[:at])) + 1
+        planted.append((i, " ".join([*words[:at], secret, *words[at:]])))
+        places[i] = (start, start + len(secret))
+    added = {
+        r["doc_id"]: [(s["start"], s["end"]) for s in r["secrets"] if s["kind"] == "crf"]
+        for r in secrets.scan(spark.createDataFrame(planted, "doc_id long, text string"), field).collect()
+    }
+    assert sum(added[i] == [place] for i, place in places.items()) > 0.9 * len(places)
+    assert sum(spot != places[i] for i, spots in added.items() for spot in spots) <= 4
+
+
+def test_cover_equals_all_spans():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        spans = [(int(s), int(s + n)) for s, n in zip(rng.integers(0, 60, 8), rng.integers(1, 15, 8))]
+        cover = secrets.Cover(spans)
+        for place, before in rng.integers(0, 80, (30, 2)).tolist():
+            assert cover.reaches(place, before) == any(s < before and e > place for s, e in spans)
+    assert not secrets.Cover([]).reaches(0, 5)
+
+
+def test_secret_scan_empty_tables(none):
     assert secrets.train(none) is None and secrets.scan(none, None).count() == 0
 
 
