@@ -100,7 +100,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), "base_sha256", F.col("span_text").alias("spans"))
 
 
-@query("op3_recompression_repeats")
+REPEATS_SQL = r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS t FROM documents),
+    p AS (SELECT doc_id, unnest(t) AS word, unnest(generate_series(1, len(t))) AS pos,
+        unnest(list_transform(generate_series(1, len(t)), lambda i: CASE WHEN i + 34 <= len(t) THEN array_to_string(t[i:i + 34], ' ') END)) AS run FROM w),
+    s AS (SELECT doc_id, word, pos, run IS NOT NULL AND count(*) OVER (PARTITION BY run) > 1 AS starts FROM p),
+    r AS (SELECT doc_id, word, pos,
+        coalesce(bool_or(starts) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), false) AS gone FROM s),
+    k AS (SELECT doc_id, count_if(gone)::BIGINT AS n, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM r GROUP BY doc_id)
+    SELECT w.doc_id, len(t)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
+
+
+@query("op3_recompression_repeats", REPEATS_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -118,7 +129,21 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(negatives.quantised(table(spark, sf_dir, "embeddings").withColumn("label", moved)))
 
 
-@query("op13_sketch_near_dedup")
+NEAR_SQL = r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS t FROM documents),
+    s AS (SELECT doc_id, list_distinct(CASE WHEN len(t) < 2 THEN t ELSE list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1]) END) AS s FROM w),
+    x AS (SELECT doc_id, len(s) AS n, unnest(s) AS sh FROM s),
+    i AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n + b.n) AS total, count(*) AS shared FROM x a JOIN x b ON a.sh = b.sh AND a.doc_id <> b.doc_id
+        AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id),
+    l AS (SELECT a, b FROM i WHERE 100 * shared >= 80 * (total - shared)),
+    r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    c AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+    SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id, coalesce(b, doc_id) >= doc_id AS kept
+    FROM s LEFT JOIN c ON a = doc_id"""
+
+
+@query("op13_sketch_near_dedup", NEAR_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
