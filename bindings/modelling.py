@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from bindings.base import cohort, query, r6, rounded, table, with_cohort
+from bindings.inference import hash_sql
 from riskloom.functions import bands, scores
 from riskloom.operators.impute import apply_fills, fit_fills
 from riskloom.operators import compare, components, knn
@@ -159,6 +160,11 @@ def t11_boosted_first_split(spark, sf_dir):
     return rounded(spark.createDataFrame([row], "threshold double, left_value double, right_value double"))
 
 
+_TEST = f"row_number() OVER (ORDER BY {hash_sql('patient_id', '42')}, patient_id) <= ceil(count(*) OVER () * 0.2 - 1e-9)"
+_FILLED = ", ".join(f"coalesce({c}, m_{c})::DOUBLE AS {c}" for c in NUMERIC)
+_APART = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in NUMERIC)
+
+
 @query("t11_neighbour_weights")
 def t11_neighbour_weights(spark, sf_dir):
     data = cut_lineage(random_split(rows(spark, sf_dir), KEY))
@@ -174,11 +180,18 @@ def t11_regression(spark, sf_dir):
     return training.cross_validate_regression(cut_lineage(numbers), [ModelSpec("linreg", NUMERIC, CATEGORICAL)], KEY, k=3)
 
 
-@query("t11_knn_classifier")
+@query(
+    "t11_knn_classifier",
+    with_cohort(
+        f""", m AS (SELECT {_FACTS} FROM cohort), x AS (SELECT patient_id, mortality AS y, {_TEST} AS test, {_FILLED} FROM cohort, m),
+        near AS (SELECT a.patient_id AS key, min({{'d2': {_APART}, 'k': b.patient_id, 'y': b.y}}, 5) AS l FROM x a, x b WHERE a.test AND NOT b.test GROUP BY 1)
+        SELECT key, {r6('list_avg(list_transform(l, lambda s: s.y))', 'probability')} FROM near"""
+    ),
+)
 def t11_knn_classifier(spark, sf_dir):
     data = cut_lineage(random_split(dense(spark, sf_dir), KEY))
     train, test = data.filter("split = 'train'"), data.filter("split = 'test'")
-    return knn.knn_vote(train, test, KEY, NUMERIC, "label", 5)
+    return rounded(knn.knn_vote(train, test, KEY, NUMERIC, "label", 5))
 
 
 @query("t12_platt_calibration")

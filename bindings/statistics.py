@@ -368,10 +368,26 @@ def f1_target_ranking(spark, sf_dir):
     return rounded(features.target_ranking(rows, "mortality", _FEATURES).drop("p_value"))
 
 
-@query("f2_usable_features")
+# The two-sided tail of Student's t is an integral of a power of the cosine, here summed by Simpson's rule.
+@query(
+    "f2_usable_features",
+    with_cohort(
+        ", steps AS (SELECT unnest(generate_series(0, 20000)) AS j), facts AS ("
+        + " UNION ALL ".join(
+            f"SELECT '{c}' AS variable, abs(corr({c}, mortality)) AS r, count({c}) AS n, 1 - count({c}) / count(*) AS missing_share FROM cohort"
+            for c in _FEATURES
+        )
+        + f"""), tails AS (SELECT variable, r, n, missing_share, n - 2 AS dof, atan(r / sqrt(1 - r * r)) AS angle FROM facts WHERE n >= 100),
+        tested AS (SELECT variable, r, n, missing_share, sum(w * pow(cos(angle + (pi() / 2 - angle) * j / 20000), dof - 1)) * (pi() / 2 - angle)
+            / sum(w * pow(cos(pi() / 2 * j / 20000), dof - 1)) / (pi() / 2) AS p
+          FROM tails, (SELECT j, CASE WHEN j % 20000 = 0 THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END AS w FROM steps) GROUP BY variable, r, n, missing_share, angle, dof)
+        SELECT variable, {r6('r', 'r')}, CAST(n AS BIGINT) AS n, {r6('missing_share', 'missing_share')}, {r6('p', 'p_value')}
+        FROM tested WHERE p < 0.05 AND missing_share < 0.3"""
+    ),
+)
 def f2_usable_features(spark, sf_dir):
     rows = cohort(spark, sf_dir).select("mortality", *_FEATURES)
-    return features.usable_features(features.target_ranking(rows, "mortality", _FEATURES))
+    return rounded(features.usable_features(features.target_ranking(rows, "mortality", _FEATURES)))
 
 
 _DERIVED = {
