@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.functions.hashing import HASH_SPACE, hash_order
+from riskloom.functions.hashing import HASH_SPACE
 from riskloom.operators.quantiles import quantiles
+from riskloom.session import cut_lineage
 
 SAMPLE = 256
 
@@ -43,6 +44,13 @@ def _grow(x: np.ndarray, rng: np.random.Generator, depth: int, limit: int, nodes
     _grow(x[~left], rng, depth + 1, limit, nodes, b)
 
 
+def hash_below(key: Column, seed: str, cut: int) -> Column:
+    """``hash_order(key, seed) < cut`` on the digits themselves: nothing is turned into a number, row by row and tree by tree."""
+    if cut >= HASH_SPACE:
+        return key.isNotNull()
+    return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))) < F.lit(f"{cut:015x}")
+
+
 def fit_forest(
     df: DataFrame, key: Column, columns: Sequence[str], trees: int = 100, seed: int = 42
 ) -> tuple[list[list[tuple]], int]:
@@ -58,9 +66,7 @@ def fit_forest(
     # the hash of (row, tree) is compared with the share; slightly more are drawn, then cut to size
     share = min(1.0, 1.3 * size / n)
     draws = [
-        F.when(
-            hash_order(F.col("k"), f"{seed}-tree-{t}") < F.lit(int(share * HASH_SPACE)), F.lit(t)
-        )
+        F.when(hash_below(F.col("k"), f"{seed}-tree-{t}", int(share * HASH_SPACE)), F.lit(t))
         for t in range(trees)
     ]
     picked = rows.withColumn("tree", F.explode(F.array_compact(F.array(*draws))))
@@ -91,9 +97,20 @@ def _grow_forest(picked: DataFrame, columns: Sequence[str], size: int, seed: int
     return list(forest.values())
 
 
+def _sunk(nodes: list[tuple]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Depth, and per node the feature, the cut, both children (a leaf is its own) and the path length."""
+    feature, cut, left, right, path = (np.array(v) for v in zip(*nodes))
+    leaf, own = feature < 0, np.arange(len(nodes))
+    child = np.stack([np.where(leaf, own, left), np.where(leaf, own, right)], axis=1).reshape(-1).astype(np.int64)
+    depth, level = 0, [0]
+    while level := [c for n in level if not leaf[n] for c in (left[n], right[n])]:
+        depth += 1
+    return depth, np.where(leaf, 0, feature).astype(np.int64), cut.astype(float), child, path.astype(float)
+
+
 def anomaly_score(forest: list[list[tuple]], size: int, columns: Sequence[Column]) -> Column:
     """2 ** (-mean path / expected path): near 1 is unusual. Null when a coordinate is missing."""
-    tables = [np.array(t, dtype=float) for t in forest]
+    tables = [_sunk(t) for t in forest]
     scale = _mean_path(size) or 1.0
 
     @F.pandas_udf(T.DoubleType())
@@ -104,16 +121,12 @@ def anomaly_score(forest: list[list[tuple]], size: int, columns: Sequence[Column
             x = np.array(p[known].tolist(), dtype=float)
             usable = ~np.isnan(x).any(axis=1)
             total = np.zeros(len(x))
-            for table in tables:
-                at = np.zeros(len(x), dtype=int)
-                moving = np.arange(len(x))
-                while len(moving):
-                    node = table[at[moving]]
-                    inner = node[:, 0] >= 0
-                    moving, node = moving[inner], node[inner]
-                    left = x[moving, node[:, 0].astype(int)] < node[:, 1]
-                    at[moving] = np.where(left, node[:, 2], node[:, 3]).astype(int)
-                total += table[at, 4]
+            row = np.arange(len(x))
+            for depth, feature, cut, child, path in tables:
+                at = np.zeros(len(x), dtype=np.int64)
+                for _ in range(depth):  # a leaf leads to itself
+                    at = child[2 * at + (x[row, feature[at]] >= cut[at])]
+                total += path[at]
             value = 2.0 ** (-(total / len(tables)) / scale)
             value[~usable] = np.nan
             out[known] = value
@@ -127,7 +140,8 @@ def forest_classifier(
 ) -> DataFrame:
     """(key, anomaly, predicted, probability): cut at the contamination quantile, logistic of the margin."""
     forest, size = fit_forest(df, F.col(key), columns, trees, seed)
-    scored = df.select(key, anomaly_score(forest, size, [F.col(c) for c in columns]).alias("anomaly"))
+    # scored once: the quantile reads the scores several times
+    scored = cut_lineage(df.select(key, anomaly_score(forest, size, [F.col(c) for c in columns]).alias("anomaly")))
     cut = quantiles(scored, ["anomaly"], [1 - contamination])["anomaly"][0]
     margin = F.lit(cut) - F.col("anomaly")  # positive for ordinary rows
     return scored.withColumns(
